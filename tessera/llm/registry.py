@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["repetition"]
+MODULES = ["repetition", "packing"]
 
 
 def _loaded():
