@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["repetition", "packing"]
+MODULES = ["repetition", "packing", "decontaminate"]
 
 
 def _loaded():
