@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["repetition", "packing", "decontaminate", "toxicity"]
+MODULES = ["repetition", "packing", "decontaminate", "toxicity", "quality"]
 
 
 def _loaded():
