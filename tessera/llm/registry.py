@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["repetition", "packing", "decontaminate", "toxicity", "quality", "html_text"]
+MODULES = ["repetition", "packing", "decontaminate", "toxicity", "quality", "html_text", "warc"]
 
 
 def _loaded():
