@@ -35,7 +35,7 @@ from ._shared import written
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 800_000
 CACHE_CHARS = 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,10 +50,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer's splitting rule never joins what stands on either side of a
-    lone space between two other characters, so a text is encoded word by word
-    (each with its space before it) and words met before come from a bounded
-    cache. Every id comes from the tokenizer itself.
+    The tokenizer's splitting rule never joins what stands before a lone space
+    or newline between two other characters to what follows, so a text is
+    encoded word by word (each with the space or newline before it) and words
+    met before come from a bounded cache. Every id comes from the tokenizer.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -72,16 +72,27 @@ class Encoder:
         return cls._loaded[path]
 
     def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of words. A comma or full stop after a letter or number is a token run of its own, so only what stands before it need be new."""
+        stems = [p[:-1] if p[-1:] in (",", ".") and p[-2:-1].isalnum() else p for p in parts]
+        new = [p for p in dict.fromkeys(stems) if p not in self.cache]
+        known = dict(zip(new, self._plain(new), strict=True))
+        marks = dict(zip(",.", self._plain([",", "."]), strict=True))
+        out = []
+        for p, stem in zip(parts, stems, strict=True):
+            ids = known.get(stem) or self.cache.get(stem, b"")
+            out.append(ids if len(stem) == len(p) else ids + marks[p[-1]])
+        return out
+
+    def _plain(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     @staticmethod
     def _split(text: str) -> list[str]:
-        parts = text.split(" ")
-        return [parts[0], *map(" ".__add__, parts[1:])]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     @staticmethod
     def _split_with_care(text: str) -> list[str]:
-        return re.split(r"(?<=\S)(?= \S)", text)
+        return re.split(r"(?<=\S)(?=[ \n]\S)", text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_ENTRIES:
@@ -91,7 +102,7 @@ class Encoder:
         missing: dict[str, None] = {}
         lists = []
         for text in texts:
-            parts = self._split(text)
+            parts = self._split(text) if "\0" not in text else self._split_with_care(text)
             got = list(map(get, parts))
             if None in got:
                 new = [p for p, g in zip(parts, got, strict=True) if g is None]
@@ -107,7 +118,7 @@ class Encoder:
         for parts, got in zip(lists, found, strict=True):
             out.append(b"".join(fresh[p] if g is None else g for p, g in zip(parts, got, strict=True)) if None in got else b"".join(got))
         for p, ids in fresh.items():  # a word that ends in white space must be seen again as one that needs care
-            if p and len(p) <= CACHE_CHARS and not p[-1].isspace() and not p[1:2].isspace() and not (p[0].isspace() and p[0] != " "):
+            if p and len(p) <= CACHE_CHARS and not p[-1].isspace() and not p[1:2].isspace() and not (p[0].isspace() and p[0] not in " \n"):
                 self.cache[p] = ids
         return out
 
