@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["repetition", "packing", "decontaminate", "toxicity", "quality", "html_text", "warc", "ngram_join", "line_dedup"]
+MODULES = ["repetition", "packing", "decontaminate", "toxicity", "quality", "html_text", "warc", "ngram_join", "line_dedup", "quotation"]
 
 
 def _loaded():
