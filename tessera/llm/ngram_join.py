@@ -8,10 +8,10 @@ sizes a, b and the number d of shingles in one set only, that is
 2.  Small sets (up to a boundary) enumerate their subsets of each size that a
     link with a possible partner must share; equal subsets meet under one key.
 3.  Large sets go into inverted lists under the shingles of their prefix: all but
-    as many shingles as a link must share, less one, in one order for all sets
-    (rare ones first, as far as a count over all texts knows them). A small set
+    as many shingles as a link must share, less one, in one order for all sets:
+    rare ones first, by the counts of their words over all texts. A small set
     that may link with a large one goes there as well. The boundary is that of
-    least cost by the sizes of all sets and the counts of all shingles.
+    least cost by the sizes of all sets.
 4.  Light lists give their pairs. A heavy list is scanned against its leader, the
     smallest id in it: each set becomes its difference D from the leader's. Sets
     that link with the leader are connected and need not meet. For any other
@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,10 +46,15 @@ from . import _text as tx
 from ._shared import written
 from .components import components
 
-SKETCH_BITS = 22
-BUCKETS = 128
+#: Words are counted in 2**WORD_BITS buckets; the order of shingles uses the logarithms of these counts.
+WORD_BITS = 18
+LEAST_COUNT = 16
+BUCKETS = 64
+FULL = 255  #: a count in a byte; from here on it is no bound
 MOST_SMALL = 29
-#: Ids of so many bytes at most are sent to all executors; more are joined by a shuffle.
+#: Cost of what a set meets under one shingle of its prefix, in rows.
+MET = 4
+#: Ids, or sets of leaders, of so many bytes at most are sent to all executors; more are joined by a shuffle.
 SENT_BYTES = 16 << 20
 
 
@@ -57,7 +62,7 @@ SENT_BYTES = 16 << 20
 class Settings:
     words: int = 3
     percent: int = 90
-    light: int = 24  #: lists of up to so many sets give their pairs
+    light: int = 96  #: lists of up to so many sets give their pairs
 
     def overlap(self, a: int, b: int) -> int:
         """Least number of common shingles of linked sets of these sizes."""
@@ -70,19 +75,31 @@ class Settings:
         return d * (100 + self.percent) <= total * (100 - self.percent)
 
 
-def sets(chunk: tx.Chunk, words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a chunk."""
+def sets(chunk: tx.Chunk, words: int, levels: np.ndarray | None = None) -> Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct shingle hashes of each text of a chunk; with the level of each word bucket, also how common each shingle's words are."""
     lowered = chunk.lowered()
     spans = tx.words(lowered)
     codes = tx.hashes(lowered, spans)
     rolled = tx.rolled(codes, words)
+    if levels is not None:
+        total = np.concatenate([[0], np.cumsum(levels[bucket_of(codes)])])
+        common = total[words:] - total[:-words] if len(codes) >= words else total[:0]
     for a, b in itertools.pairwise(spans.bounds.tolist()):
         if b - a >= words:
-            yield np.unique(rolled[a : b - words + 1])
-        elif b > a:
-            yield tx.rolled(codes[a:b], b - a)
+            x, at = np.unique(rolled[a : b - words + 1], return_index=True) if levels is not None else (np.unique(rolled[a : b - words + 1]), None)
+            yield x if levels is None else (x, common[a + at])
         else:
-            yield rolled[:0]
+            x = tx.rolled(codes[a:b], b - a) if b > a else rolled[:0]
+            yield x if levels is None else (x, np.zeros(len(x), dtype=np.int64))
+
+
+def bucket_of(codes: np.ndarray) -> np.ndarray:
+    return (codes >> tx.U64(64 - WORD_BITS)).astype(np.int64)
+
+
+def word_codes(chunk: tx.Chunk) -> np.ndarray:
+    lowered = chunk.lowered()
+    return tx.hashes(lowered, tx.words(lowered))
 
 
 def _prints(s: np.ndarray) -> tuple[int, int]:
@@ -91,6 +108,17 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
         return int(tx.mix(s).sum(dtype=np.uint64).astype(np.int64)), int(tx.mix(s ^ tx.U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """48 bits of each hash, in order: two sets of thousands differ in what they share by chance less than once in ten million pairs."""
+    return (x >> tx.U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -104,29 +132,25 @@ FIRST = "doc_id long, n long, f1 long, f2 long, bucket int, times long"
 
 
 def first_pass(docs: DataFrame, s: Settings) -> DataFrame:
-    """A row for each text with the size and the prints of its set; and counts of shingles by bucket, of those above what chance gives a bucket."""
+    """A row for each text with the size and the prints of its set; and a row for each bucket of words that a task met often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+        times = np.zeros(1 << WORD_BITS, dtype=np.int64)
         names = [f.split()[0] for f in FIRST.split(", ")]
         for batch in batches:
             n, f1, f2 = [], [], []
             for chunk in tx.chunks(batch.column(1)):
-                found = list(sets(chunk, s.words))
-                for x in found:
+                for x in sets(chunk, s.words):
                     a, b = _prints(x)
                     n.append(len(x))
                     f1.append(a)
                     f2.append(b)
-                if found:
-                    at = (np.concatenate(found) >> tx.U64(64 - SKETCH_BITS)).astype(np.int64)
-                    sketch += np.bincount(at, minlength=len(sketch)).astype(np.int32)
+                times += np.bincount(bucket_of(word_codes(chunk)), minlength=len(times))
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), none, none.cast(pa.int64())], names)
-        mean = sketch.mean()
-        high = np.flatnonzero(sketch > mean + 6 * math.sqrt(mean) + 4)
+        high = np.flatnonzero(times >= LEAST_COUNT)
         none = pa.nulls(len(high), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(high.astype(np.int32)), pa.array(sketch[high].astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(high.astype(np.int32)), pa.array(times[high])], names)
 
     return written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, FIRST), "prints")
 
@@ -157,12 +181,13 @@ def n_subsets(n: int, s: Settings, boundary: int) -> int:
     return sum(math.comb(n, c) for c in {s.overlap(n, b) for b in range(max(1, least), most + 1)} if c <= n)
 
 
-def boundary_of(sizes: dict[int, int], met: float, s: Settings) -> int:
-    """The largest size that is small, of least cost. sizes: how many sets have a size up to MOST_SMALL + 1; met: other sets met under a shingle, on average.
+def boundary_of(sizes: dict[int, int], s: Settings) -> int:
+    """The largest size that is small, of least cost. sizes: how many sets have a size up to MOST_SMALL + 1.
 
-    A small set costs a row for each subset; a large one a row for each shingle of its prefix, and what it meets there.
+    A small set costs a row for each subset; a large one a row for each shingle of
+    its prefix, and the check of what it meets there (MET rows' worth each).
     """
-    large = {n: k * s.prefix(n) * (1 + met) for n, k in sizes.items()}
+    large = {n: k * s.prefix(n) * (1 + MET) for n, k in sizes.items()}
 
     def cost(x: int) -> float:
         crossing = -(-s.percent * (x + 1) // 100)
@@ -174,28 +199,29 @@ def boundary_of(sizes: dict[int, int], met: float, s: Settings) -> int:
 SIGNS = "doc_id long, n long, f1 long, f2 long, keys array<long>, counts binary"
 
 
-def second_pass(docs: DataFrame, s: Settings, boundary: int, order: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def second_pass(docs: DataFrame, s: Settings, boundary: int, levels: np.ndarray) -> DataFrame:
     """The keys under which each text's set can meet others, and its counts of shingles by bucket."""
     crossing = -(-s.percent * (boundary + 1) // 100)
+    sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2**WORD_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in tx.chunks(batch.column(1)):
-                found = list(sets(chunk, s.words))
+                found = list(sets(chunk, s.words, sent.value))
                 keys, counts, prints = [], [], []
-                for x in found:
+                for x, common in found:
                     n = len(x)
                     parts = []
                     if n and n <= boundary:
                         parts.append(_subsets(x, s, boundary))
                     if n > boundary or (n and n >= crossing):
-                        parts.append(order(x)[: s.prefix(n)])
+                        parts.append(x[np.lexsort((tx.mix(x), common))[: s.prefix(n)]])
                     keys.append(_signed(np.concatenate(parts)) if parts else np.zeros(0, np.int64))
-                    counts.append(np.minimum(np.bincount((x & tx.U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65535).astype("<u2").tobytes())
+                    counts.append(np.minimum(np.bincount((x & tx.U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), FULL).astype(np.uint8).tobytes())
                     prints.append(_prints(x))
                 ids = batch.column(0).slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(x) for x in found], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), _spread(keys, pa.int64()), pa.array(counts, pa.binary())],
+                    [ids, pa.array([len(x) for x, _ in found], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), _spread(keys, pa.int64()), pa.array(counts, pa.binary())],
                     [f.split()[0] for f in SIGNS.split(", ")],
                 )
 
@@ -203,7 +229,7 @@ def second_pass(docs: DataFrame, s: Settings, boundary: int, order: Callable[[np
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, s: Settings, repeats: bool = False) -> DataFrame:
-    """The sets of some documents: (node, x), x the sorted hashes as bytes."""
+    """The sets of some documents: (node, x), x the sorted hashes, packed."""
     base = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].cast("string").alias("text"))
     few = needed.count() * 8 <= SENT_BYTES
     base = base.join(F.broadcast(needed) if few else needed, "node", "left_semi")
@@ -211,31 +237,13 @@ def sets_of(docs: DataFrame, needed: DataFrame, s: Settings, repeats: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in tx.chunks(batch.column(1)):
-                x = [x.astype("<u8").tobytes() for x in sets(chunk, s.words)]
+                x = [packed(x) for x in sets(chunk, s.words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(x, pa.binary())], ["node", "x"])
 
     out = base.mapInArrow(run, "node long, x binary")
     return written(out.dropDuplicates() if repeats else out, "sets")
 
 
-class Order:
-    """Rare shingles first, by counts of buckets over all texts; equal counts by hash. The same for every set."""
-
-    def __init__(self, buckets: np.ndarray, times: np.ndarray) -> None:
-        self.buckets, self.times = buckets, times
-
-    def weight(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.buckets):
-            return np.zeros(len(x), dtype=np.int64)
-        at = (x >> tx.U64(64 - SKETCH_BITS)).astype(np.int64)
-        i = np.minimum(np.searchsorted(self.buckets, at), len(self.buckets) - 1)
-        return np.where(self.buckets[i] == at, self.times[i], 0)
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        w = self.weight(x)
-        return x[np.lexsort((tx.mix(x), w))] if w.any() else x[np.argsort(tx.mix(x))]
-
-
 def _lists(rows: DataFrame, levels: int, s: Settings) -> tuple[DataFrame, DataFrame]:
     """Of rows (key, node, n, mask): the pairs of light lists, and heavy lists with their leader. Bit i of a mask: unlinked to the leader of level i."""
     full = (1 << levels) - 1
@@ -246,17 +254,24 @@ def _lists(rows: DataFrame, levels: int, s: Settings) -> tuple[DataFrame, DataFr
     return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), rows.where(F.col("m") > s.light).select("key", "node", "n", "mask", "leader")
 
 
-def _against_leader(heavy: DataFrame, found: DataFrame, level: int, s: Settings, order: Order) -> DataFrame:
-    """Scan heavy lists: a row (key, node, n, mask, linked, leader) for each new list that a set goes to, or one without a key."""
-    apart = heavy.select("node", "leader").distinct()
-    apart = apart.join(found, "node").join(found.select(F.col("node").alias("leader"), F.col("x").alias("y")), "leader").select("node", "leader", "x", "y")
+def _against_leader(heavy: DataFrame, found: DataFrame, level: int, s: Settings) -> DataFrame:
+    """Scan heavy lists: a row (key, node, n, mask, linked, leader) for each new list that a set goes to, or one without a key.
+
+    Lists of one leader are scanned as one: a pair that meets in several of them needs to meet once.
+    """
+    heavy = written(heavy.groupBy("leader", "node", "n").agg(F.bit_or("mask").alias("mask")), "scan")
+    leaders = found.join(heavy.select(F.col("leader").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("leader"), F.col("x").alias("y"))
+    leaders = written(leaders, "leaders")
+    few = (leaders.agg(F.sum(F.octet_length("y"))).first()[0] or 0) <= SENT_BYTES
+    apart = heavy.join(found, "node").join(F.broadcast(leaders) if few else leaders, "leader").select("node", "leader", "n", "mask", "x", "y")
+    bit = 1 << level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tables: tuple[list, list] = ([], [])
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                more, less = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+            parts, links = [], []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                a, b = unpacked(x), unpacked(y)
+                more, less = np.setdiff1d(a, b), np.setdiff1d(b, a)
                 d = len(more) + len(less)
                 linked = bool(s.linked(d, len(a) + len(b)))
                 if linked:
@@ -264,19 +279,14 @@ def _against_leader(heavy: DataFrame, found: DataFrame, level: int, s: Settings,
                 else:
                     keep = d + 1 - max(1, -(((100 - s.percent) * len(a) - s.percent * d) // s.percent))
                 # own shingles, which few others have, before those of the leader that are missing
-                tables[0].append(_signed(np.concatenate([order(more), order(less)])[:keep]))
-                tables[1].append(linked)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _spread(tables[0], pa.int64()), pa.array(tables[1], pa.bool_())], ["node", "leader", "parts", "linked"])
+                parts.append(_signed(np.concatenate([more[np.argsort(tx.mix(more))], less[np.argsort(tx.mix(less))]])[:keep]))
+                links.append(linked)
+            mask = batch.column(3).to_numpy(zero_copy_only=False)
+            mask = np.where(links, mask, mask | bit).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(mask), _spread(parts, pa.int64()), pa.array(links, pa.bool_())], ["node", "leader", "n", "mask", "parts", "linked"])
 
-    scanned = written(apart.mapInArrow(run, "node long, leader long, parts array<long>, linked boolean"), "scanned")
-    bit = 1 << level
-    return written(
-        heavy.join(scanned, ["node", "leader"]).select(
-            F.explode_outer("parts").alias("part"), "key", "node", "n", "leader", "linked",
-            F.when(F.col("linked"), F.col("mask")).otherwise(F.col("mask").bitwiseOR(F.lit(bit))).alias("mask"),
-        ).select(F.when(F.col("part").isNotNull(), F.xxhash64("key", "part")).alias("key"), "node", "n", "mask", "linked", "leader"),
-        "lists",
-    )
+    scanned = apart.mapInArrow(run, "node long, leader long, n long, mask int, parts array<long>, linked boolean")
+    return written(scanned.select(F.explode_outer("parts").alias("part"), "node", "n", "mask", "linked", "leader").select(F.when(F.col("part").isNotNull(), F.xxhash64("leader", "part")).alias("key"), "node", "n", "mask", "linked", "leader"), "lists")
 
 
 def _filtered(pairs: DataFrame, counts: DataFrame, s: Settings) -> DataFrame:
@@ -287,10 +297,10 @@ def _filtered(pairs: DataFrame, counts: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ca, cb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BUCKETS) for i in (2, 4))
+            ca, cb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS) for i in (2, 4))
             total = batch.column(3).to_numpy(zero_copy_only=False) + batch.column(5).to_numpy(zero_copy_only=False)
             common = np.minimum(ca, cb).astype(np.int64).sum(axis=1)
-            open_end = (np.maximum(ca, cb) == 65535).any(axis=1)
+            open_end = (np.maximum(ca, cb) == FULL).any(axis=1)
             yield batch.select([0, 1]).filter(pa.array(open_end | s.linked(total - 2 * common, total)))
 
     return joined.select("a", "b", "ca", "na", "cb", "nb").mapInArrow(run, "a long, b long")
@@ -304,7 +314,7 @@ def _verified(pairs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                both = np.concatenate([np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")])
+                both = np.concatenate([unpacked(x.as_buffer()), unpacked(y.as_buffer())])
                 both.sort()
                 ok.append(bool(s.linked(len(both) - 2 * int((both[1:] == both[:-1]).sum()), len(both))))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
@@ -323,16 +333,14 @@ def join(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     s = settings or Settings()
     first = first_pass(docs, s)
     rows = first.where("n is not null")
-    heavy_buckets = first.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("times")).orderBy("bucket").toArrow()  # at most 2**SKETCH_BITS rows
-    order = Order(heavy_buckets["bucket"].to_numpy().astype(np.int64), heavy_buckets["times"].to_numpy())
+    common = first.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("times")).toArrow()  # at most 2**WORD_BITS rows
+    levels = np.zeros(1 << WORD_BITS, dtype=np.uint8)
+    levels[common["bucket"].to_numpy()] = np.round(2 * np.log2(common["times"].to_numpy().astype(float))).astype(np.uint8)
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
     sizes = {int(n): int(k) for n, k in classes.where(F.col("n") <= MOST_SMALL + 1).groupBy("n").count().collect()}
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    met = float((order.times.astype(float) * (order.times - 1)).sum() / total) if total else 0.0
-    boundary = boundary_of(sizes, met, s)
+    boundary = boundary_of(sizes, s)
 
-    sent = docs.sparkSession.sparkContext.broadcast(order)
-    signs = second_pass(docs, s, boundary, lambda x: sent.value(x))
+    signs = second_pass(docs, s, boundary, levels)
     # only the texts that stand for their class; of rows with one id and one set, one
     same = ["doc_id", "f1", "f2", "n"]
     repeats = bool(rows.groupBy(same).count().where("count > 1").take(1))
@@ -343,7 +351,7 @@ def join(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     found = sets_of(docs, heavy.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), s, repeats)
     links, level = [], 0
     while level < 30 and heavy.take(1):
-        scanned = _against_leader(heavy, found, level, s, order)
+        scanned = _against_leader(heavy, found, level, s)
         links.append(scanned.where("linked and node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
         level += 1
         more, heavy = _lists(scanned.where("key is not null").select("key", "node", "n", "mask"), level, s)
