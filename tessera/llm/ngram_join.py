@@ -9,7 +9,7 @@ sizes a, b and the number d of shingles in one set only, that is
     link with a possible partner must share; equal subsets meet under one key.
 3.  Large sets go into inverted lists under the shingles of their prefix: all but
     as many shingles as a link must share, less one, in one order for all sets:
-    rare ones first, by the counts of their words over all texts. A small set
+    rare ones first, by the count of their rarest word over all texts. A small set
     that may link with a large one goes there as well. The boundary is that of
     least cost by the sizes of all sets.
 4.  Light lists give their pairs. A heavy list is scanned against its leader, the
@@ -47,8 +47,8 @@ from ._shared import written
 from .components import components
 
 #: Words are counted in 2**WORD_BITS buckets; the order of shingles uses the logarithms of these counts.
-WORD_BITS = 18
-LEAST_COUNT = 16
+WORD_BITS = 22
+LEAST_COUNT = 3
 BUCKETS = 64
 FULL = 255  #: a count in a byte; from here on it is no bound
 MOST_SMALL = 29
@@ -82,8 +82,9 @@ def sets(chunk: tx.Chunk, words: int, levels: np.ndarray | None = None) -> Itera
     codes = tx.hashes(lowered, spans)
     rolled = tx.rolled(codes, words)
     if levels is not None:
-        total = np.concatenate([[0], np.cumsum(levels[bucket_of(codes)])])
-        common = total[words:] - total[:-words] if len(codes) >= words else total[:0]
+        level = levels[bucket_of(codes)].astype(np.int64)
+        near = np.stack([level[k : len(level) - words + 1 + k] for k in range(words)]) if len(level) >= words else level[None, :0]
+        common = (near.min(axis=0) << 16) + near.sum(axis=0)  # a shingle is no more common than its rarest word
     for a, b in itertools.pairwise(spans.bounds.tolist()):
         if b - a >= words:
             x, at = np.unique(rolled[a : b - words + 1], return_index=True) if levels is not None else (np.unique(rolled[a : b - words + 1]), None)
@@ -135,7 +136,7 @@ def first_pass(docs: DataFrame, s: Settings) -> DataFrame:
     """A row for each text with the size and the prints of its set; and a row for each bucket of words that a task met often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times = np.zeros(1 << WORD_BITS, dtype=np.int64)
+        times = np.zeros(1 << WORD_BITS, dtype=np.int32)
         names = [f.split()[0] for f in FIRST.split(", ")]
         for batch in batches:
             n, f1, f2 = [], [], []
@@ -145,12 +146,13 @@ def first_pass(docs: DataFrame, s: Settings) -> DataFrame:
                     n.append(len(x))
                     f1.append(a)
                     f2.append(b)
-                times += np.bincount(bucket_of(word_codes(chunk)), minlength=len(times))
+                at, n_here = np.unique(bucket_of(word_codes(chunk)), return_counts=True)
+                times[at] += n_here.astype(np.int32)
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), none, none.cast(pa.int64())], names)
         high = np.flatnonzero(times >= LEAST_COUNT)
         none = pa.nulls(len(high), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(high.astype(np.int32)), pa.array(times[high])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(high.astype(np.int32)), pa.array(times[high].astype(np.int64))], names)
 
     return written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, FIRST), "prints")
 
