@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if found := spark.sparkContext.getCheckpointDir():
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{KEY} is not set: on a cluster the driver and the executors need a folder that they share")
     own = tempfile.mkdtemp(prefix="tessera-shared-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -35,3 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets go of frames that are out of use, so that the cleaner deletes their shuffle files now and not at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
