@@ -56,6 +56,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+def forget() -> None:
+    """Frees the tables of powers, so that a Python worker that waits for its next task holds none."""
+    _POWERS.clear()
+
+
 def byte_table(separators: bytes) -> np.ndarray:
     """True for each byte value that belongs to a word."""
     table = np.ones(256, dtype=bool)

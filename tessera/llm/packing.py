@@ -20,6 +20,8 @@ other than the id and the text are neither read nor returned.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
 import zlib
@@ -32,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import written
+from ._text import Chunk, Spans, chunks, forget, hashes
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_ENTRIES = 800_000
-CACHE_CHARS = 48
+CACHE_ENTRIES = 600_000  # parts of words, about 30 MB with their ids, for as long as a task runs
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -47,80 +49,167 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes.
+def _white(data: np.ndarray) -> np.ndarray:
+    """True for every byte of a white-space character of UTF-8 text."""
+    white = _ASCII_WHITE[data]
+    if len(data) > 1 and data.max() > 127:
+        for mark in _WIDE_WHITE:
+            n = len(mark)
+            at = np.flatnonzero(data[: len(data) - n + 1] == mark[0])
+            for k in range(1, n):
+                at = at[data[at + k] == mark[k]]
+            for k in range(n):
+                white[at + k] = True
+    return white
+
+
+_ASCII_WHITE = np.zeros(256, dtype=bool)
+_ASCII_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_WIDE_WHITE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WORD_BYTE = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+
+
+def parts_of(chunk: Chunk) -> Spans:
+    """Parts of texts whose ids, in a row, are those of the text.
 
     The tokenizer's splitting rule never joins what stands before a lone space
-    or newline between two other characters to what follows, so a text is
-    encoded word by word (each with the space or newline before it) and words
-    met before come from a bounded cache. Every id comes from the tokenizer.
+    or newline between two other characters to what follows; and a comma or full
+    stop between a letter or number and such a place is a token run of its own.
     """
+    data = chunk.data
+    n = len(data)
+    white = _white(data)
+    cut = np.zeros(n + 1, dtype=bool)
+    if n > 2:
+        cut[1 : n - 1] = ((data[1:-1] == 32) | (data[1:-1] == 10)) & ~white[:-2] & ~white[2:]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[chunk.offsets] = True
+    inner = np.zeros(n + 1, dtype=bool)  # the last byte of a text and its first one have no neighbour there
+    inner[:n] = ~edge[:n] & ~edge[1:]
+    cut &= inner
+    letter = _WORD_BYTE[data]
+    if n > 1:
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    mark = np.flatnonzero((data == 44) | (data == 46))
+    mark = mark[(mark > 0) & ~edge[mark]]
+    mark = mark[letter[mark - 1] & (cut[mark + 1] | edge[mark + 1])]
+    cut[mark] = True
+    cut |= edge
+    full = np.flatnonzero(np.diff(chunk.offsets) > 0)
+    starts = np.flatnonzero(cut[:n])
+    ends = np.append(starts[1:], n) if len(starts) else starts
+    return Spans(starts, ends, np.searchsorted(starts, chunk.offsets)) if len(full) else Spans(starts, ends, np.zeros(len(chunk.offsets), dtype=np.int64))
+
+
+def same_by_ranks(path: str, tokenizer):  # noqa: ANN201
+    """An encoder of the same byte-level vocabulary by ranks, which is several times faster; None where the file asks for more than that."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if model.get("type") != "BPE" or spec.get("normalizer") or not level:
+        return None
+    import tiktoken
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others have letters from 256 on
+    letter = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    added = {t["content"] for t in spec.get("added_tokens", ())}
+    ranks = {bytes(letter[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    probe = ["Hello, world's  end.\n\n 12345 übergröße – “q”\t日本語 \U0001f600 a", " the of\n and", "x" * 40]
+    return fast if all(fast.encode_ordinary(t) == tokenizer.encode(t, add_special_tokens=False).ids for t in probe) else None
 
-    _loaded: dict[str, Encoder] = {}
+
+class Encoder:
+    """Token ids of whole texts, as the tokenizer gives them.
+
+    The different parts of a chunk of texts are found by their hashes and encoded
+    once; those that were met before are known, and forgotten when they are many.
+    """
+
+    _loaded: dict[str, tuple] = {}  # of a fixed size for each file
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        """Ids of words. A comma or full stop after a letter or number is a token run of its own, so only what stands before it need be new."""
-        stems = [p[:-1] if p[-1:] in (",", ".") and p[-2:-1].isalnum() else p for p in parts]
-        new = [p for p in dict.fromkeys(stems) if p not in self.cache]
-        known = dict(zip(new, self._plain(new), strict=True))
-        marks = dict(zip(",.", self._plain([",", "."]), strict=True))
-        out = []
-        for p, stem in zip(parts, stems, strict=True):
-            ids = known.get(stem) or self.cache.get(stem, b"")
-            out.append(ids if len(stem) == len(p) else ids + marks[p[-1]])
-        return out
-
-    def _plain(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-
-    @staticmethod
-    def _split_with_care(text: str) -> list[str]:
-        return re.split(r"(?<=\S)(?=[ \n]\S)", text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        get = self.cache.get
-        found: list[list | None] = []
-        missing: dict[str, None] = {}
-        lists = []
-        for text in texts:
-            parts = self._split(text) if "\0" not in text else self._split_with_care(text)
-            got = list(map(get, parts))
-            if None in got:
-                new = [p for p, g in zip(parts, got, strict=True) if g is None]
-                if any(p[-1:].isspace() or p[1:2].isspace() or not p for p in new) or parts[0][:1].isspace():
-                    parts = self._split_with_care(text)
-                    got = list(map(get, parts))
-                    new = [p for p, g in zip(parts, got, strict=True) if g is None]
-                missing.update(dict.fromkeys(new))
-            lists.append(parts)
-            found.append(got)
-        fresh = dict(zip(missing, self._ids(list(missing)), strict=True)) if missing else {}
-        out = []
-        for parts, got in zip(lists, found, strict=True):
-            out.append(b"".join(fresh[p] if g is None else g for p, g in zip(parts, got, strict=True)) if None in got else b"".join(got))
-        for p, ids in fresh.items():  # a word that ends in white space must be seen again as one that needs care
-            if p and len(p) <= CACHE_CHARS and not p[-1].isspace() and not p[1:2].isspace() and not (p[0].isspace() and p[0] not in " \n"):
-                self.cache[p] = ids
-        return out
+        if path not in self._loaded:
+            tokenizer = Tokenizer.from_file(path)
+            added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+            fast = same_by_ranks(path, tokenizer)
+            size = np.array([len(fast.decode_single_token_bytes(i)) if i not in tokenizer.get_added_tokens_decoder() else 0 for i in range(fast.n_vocab)]) if fast else None
+            self._loaded[path] = tokenizer, fast, size, re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.tokenizer, self.fast, self.size, self.added = self._loaded[path]
+        self.forget()
+
+    def forget(self) -> None:
+        """Known parts: their hashes in order, where their ids begin in ``ids``, and how many they are."""
+        self.keys, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _one(self, part: str) -> list[int]:
+        return self.tokenizer.encode(part, add_special_tokens=False).ids if self.fast is None or self.added.search(part) else self.fast.encode_ordinary(part)
+
+    def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts in a row, and how many each has. Parts that may stand behind each other (not ``alone``) are encoded as one text."""
+        size = ends - starts
+        row = np.flatnonzero(~alone)
+        n = size[row]
+        at = np.repeat(starts[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        text = data[at].tobytes().decode()
+        count = np.zeros(len(starts), dtype=np.int64)
+        if self.fast is None or self.added.search(text):
+            alone, row, joined = np.ones(len(starts), dtype=bool), row[:0], np.zeros(0, "<u4")
+        else:
+            joined = np.array(self.fast.encode_ordinary(text), dtype="<u4")
+            count[row] = np.diff(np.searchsorted(np.cumsum(self.size[joined]), np.cumsum(n), side="right"), prepend=0)
+        single = np.flatnonzero(alone)
+        raw = [self._one(data[a:b].tobytes().decode()) for a, b in zip(starts[single].tolist(), ends[single].tolist(), strict=True)]
+        count[single] = [len(x) for x in raw]
+        first = np.cumsum(count) - count
+        ids = np.zeros(int(count.sum()), dtype="<u4")
+        for where, values in ((row, joined), (single, np.fromiter(itertools.chain.from_iterable(raw), dtype="<u4"))):
+            n = count[where]
+            ids[np.repeat(first[where] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = values
+        return ids, count
+
+    def _learn(self, chunk: Chunk, parts: Spans, first: np.ndarray, codes: np.ndarray) -> None:
+        """Has the parts with these hashes among the known ones."""
+        at = np.searchsorted(self.keys, codes)
+        new = np.ones(len(codes), dtype=bool)
+        ok = at < len(self.keys)
+        new[ok] = self.keys[at[ok]] != codes[ok]
+        if len(self.keys) + int(new.sum()) > CACHE_ENTRIES or len(self.ids) > 8 * CACHE_ENTRIES:
+            self.forget()
+            new[:] = True
+        if not new.any():
+            return
+        starts, ends = parts.starts[first[new]], parts.ends[first[new]]
+        white = _white(chunk.data)
+        lone = (chunk.data[starts] == 32) | (chunk.data[starts] == 10)
+        plain = lone & (ends - starts > 1) & ~white[np.minimum(starts + 1, len(white) - 1)] & ~white[ends - 1]
+        ids, count = self._new(chunk.data, starts, ends, ~plain)
+        keys = np.concatenate([self.keys, codes[new]])
+        order = np.argsort(keys, kind="stable")
+        begin = np.concatenate([self.starts, len(self.ids) + np.cumsum(count) - count])
+        self.keys, self.starts, self.sizes = keys[order], begin[order], np.concatenate([self.sizes, count])[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text in turn."""
+        for chunk in chunks(texts):
+            parts = parts_of(chunk)
+            if not len(parts):
+                yield from [np.zeros(0, dtype="<u4")] * chunk.n
+                continue
+            codes, first, which = np.unique(hashes(chunk, parts), return_index=True, return_inverse=True)
+            self._learn(chunk, parts, first, codes)
+            known = np.searchsorted(self.keys, codes)[which]
+            size = self.sizes[known]
+            ends = np.cumsum(size)
+            ids = self.ids[np.repeat(self.starts[known] - (ends - size), size) + np.arange(ends[-1])]
+            bounds = np.concatenate([[0], ends])[parts.bounds].tolist()
+            yield from (ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
@@ -132,23 +221,22 @@ def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
     return [(a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group: int = 256) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of each text."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder = Encoder(path)  # for this task alone: a worker that is used again holds nothing of it
         for batch in batches:
-            rows: list[tuple] = []
-            for i in range(0, batch.num_rows, group):
-                part = batch.slice(i, group)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    rows += [(doc_id, k, *p) for k, p in enumerate(pieces_of(ids + end, capacity))]
+            columns: list[list] = [[], [], [], [], []]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                for k, piece in enumerate(pieces_of(ids.tobytes() + end, capacity)):
+                    for column, value in zip(columns, (doc_id, k, *piece), strict=True):
+                        column.append(value)
             names = [f.split()[0] for f in PIECES.split(", ")]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        forget()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col]).mapInArrow(run, PIECES)
 
