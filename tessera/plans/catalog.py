@@ -201,6 +201,61 @@ def _tables(spark: SparkSession, folder: str) -> DataFrame:
     return Engine(spark).tables()
 
 
+def plain(name: str, sql: str, tables: str, oracle: str | None = None) -> None:
+    """A query in standard SQL text, without the dialect."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        t.register(spark, folder, tables.split())
+        return Engine(spark, dialect=False).sql(sql)
+
+    QUERIES[name] = run
+    ORACLES[name] = oracle or sql
+
+
+# The dialect where no table is read, and inside of other expressions.
+text("select_no_from", "SELECT 1 AS a, 'x' AS b", "nation")
+text("having_or_empty", "SELECT max(n_nationkey) AS m FROM nation WHERE n_nationkey > 99 HAVING count(n_nationkey) IN (0) OR max(n_nationkey) IS NULL", "nation",
+     "SELECT n_nationkey AS m FROM nation WHERE false")
+text("global_coalesce_empty", "SELECT coalesce(sum(n_nationkey), 0) AS m FROM nation WHERE n_nationkey > 99", "nation", "SELECT n_nationkey AS m FROM nation WHERE false")
+_WRAP = "((p_size::BIGINT + 2147483647 + 2147483648) % 4294967296 - 2147483648)::INT"
+text("case_wrap", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size + 2147483647 ELSE 0 END AS w FROM part", "part",
+     f"SELECT p_partkey, CASE WHEN p_size > 25 THEN {_WRAP} ELSE 0 END AS w FROM part")
+text("func_wrap", "SELECT p_partkey, abs(p_size + 2147483647) AS w FROM part WHERE p_size BETWEEN 2 AND 30 AND p_size + 2147483647 < 0", "part",
+     f"SELECT p_partkey, abs({_WRAP}) AS w FROM part WHERE p_size BETWEEN 2 AND 30")
+text("mul_wrap", "SELECT p_partkey, p_size * 1000000007 AS w FROM part", "part", "SELECT p_partkey, ((p_size::BIGINT * 1000000007 + 2147483648) % 4294967296 - 2147483648)::INT AS w FROM part")
+text("quoted_ident", 'SELECT "n_name" AS "the name" FROM nation WHERE "n_nationkey" < 5', "nation")
+text("unary_minus", "SELECT n_nationkey, -n_regionkey AS m FROM nation", "nation")
+text("agg_sum_distinct", "SELECT l_returnflag, sum(DISTINCT l_linenumber) AS s FROM lineitem GROUP BY l_returnflag", "lineitem", "SELECT l_returnflag, sum(DISTINCT l_linenumber)::INT AS s FROM lineitem GROUP BY l_returnflag")
+
+# Standard SQL as it is.
+plain("window_rank", "SELECT c_custkey, c_nationkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer", "customer", "SELECT c_custkey, c_nationkey, (rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey))::INT AS r FROM customer")
+plain("window_running", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders", "orders")
+plain("cte", "WITH w AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) SELECT n_name, n FROM w JOIN nation ON k = n_nationkey WHERE n > 50", "customer nation")
+plain("scalar_subquery", "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer) + 1", "customer")
+plain("in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)", "orders customer")
+plain("correlated_exists", "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)", "nation supplier")
+plain("case_cast_coalesce", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'big' WHEN p_size > 20 THEN 'mid' ELSE 'small' END AS c, CAST(p_size AS BIGINT) AS b, COALESCE(NULLIF(p_size, 7), -1) AS d FROM part", "part")
+plain("is_null", "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_suppkey < 20 WHERE s_suppkey IS NULL OR s_suppkey IS NOT DISTINCT FROM 7", "nation supplier")
+plain("ilike", "SELECT n_name FROM nation WHERE n_name ILIKE '%an%'", "nation")
+plain("cross_join", "SELECT n_name, r_name FROM nation CROSS JOIN region", "nation region")
+plain("comma_join", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey", "nation region")
+plain("join_using", "SELECT k, a.n_name AS x, b.c_custkey AS y FROM (SELECT n_nationkey AS k, n_name FROM nation) a JOIN (SELECT c_nationkey AS k, c_custkey FROM customer) b USING (k)", "nation customer")
+plain("join_natural", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) b", "nation region")
+plain("join_anti_rows", "SELECT n_nationkey FROM nation LEFT ANTI JOIN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 15) s ON n_nationkey = s_nationkey", "nation supplier", "SELECT n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey < 15 AND s_nationkey = n_nationkey)")
+plain("join_lateral", "SELECT n_name, m FROM nation, LATERAL (SELECT max(s_acctbal) AS m FROM supplier WHERE s_nationkey = n_nationkey) l", "nation supplier")
+plain("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", "orders")
+plain("grouping_sets_list", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", "orders")
+plain("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", "customer supplier")
+plain("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", "customer supplier")
+plain("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", "customer supplier")
+plain("nulls_last", "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_suppkey < 10 ORDER BY s_suppkey DESC NULLS LAST, n_nationkey LIMIT 15", "nation supplier")
+plain("order_by_position", "SELECT c_custkey, c_nationkey FROM customer ORDER BY 2 DESC, 1 LIMIT 30", "customer")
+plain("div_mod", "SELECT p_partkey, p_size % 7 AS m, p_size * 3 AS t, p_size / 4 AS q FROM part", "part")
+plain("string_functions", "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, substring(n_name, 2, 3) AS s, length(n_name) AS n, replace(n_name, 'A', 'b') AS r, concat(n_name, '-', n_name) AS c FROM nation", "nation",
+      "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, substring(n_name, 2, 3) AS s, length(n_name)::INT AS n, replace(n_name, 'A', 'b') AS r, concat(n_name, '-', n_name) AS c FROM nation")
+plain("agg_median", "SELECT o_orderstatus, percentile(o_custkey, 0.5) AS m FROM orders GROUP BY o_orderstatus", "orders", "SELECT o_orderstatus, quantile_cont(o_custkey, 0.5)::DOUBLE AS m FROM orders GROUP BY o_orderstatus")
+
+
 FLAGSHIP = """
 SELECT f.n_name, f.seg, f.s, f.n FROM (
   SELECT b.n_name AS n_name, b.seg AS seg, sum(a.pri + 1) AS s, count(a.ok) AS n

@@ -41,11 +41,11 @@ class Engine:
     def _translated(self, sql: str) -> str:
         return self.dialect.translate(sql) if self.dialect else sql
 
-    def sql(self, text: str) -> DataFrame:
-        """Run the statements in turn; the result of the last one."""
+    def sql(self, text: str, args: dict | list | None = None) -> DataFrame:
+        """Run the statements in turn; the result of the last one. ``args`` are the values of its parameters (:name or ?)."""
         result = None
         for one in statements(text):
-            result = self._statement(one)
+            result = self.spark.sql(one, args=args) if args else self._statement(one)
         if result is None:
             raise ValueError("no statement")
         return result
@@ -54,7 +54,7 @@ class Engine:
         if m := re.match(r"(?is)\s*create\s+table\s+(\S+?)\s*(\(.*\))\s*$", sql):
             self.spark.sql(f"CREATE TABLE {m[1]} {m[2]} USING parquet")
             return tables.values(self.spark, [(1,)], ["created"])
-        if m := re.match(r"(?is)\s*insert\s+into\s+(\w+)\s*(\((?!\s*select\b)[^)]*\))?\s*(values\b.*|select\b.*)$", sql):
+        if m := re.match(r"(?is)\s*insert\s+into\s+([\w.`]+)\s*(\((?!\s*select\b)[^)]*\))?\s*(values\b.*|select\b.*)$", sql):
             return self.insert(m[1], m[3], m[2] or "")
         if m := re.match(r"(?is)\s*explain\s+(?:analyze\s+|verbose\s+)?(.*)$", sql):
             return tables.values(self.spark, [(self.explain(m[1]),)], ["plan"])
@@ -85,7 +85,9 @@ class Engine:
         return tables.values(self.spark, [(int(observed.get["n"]),)], ["inserted"])
 
     def explain(self, sql: str) -> str:
-        """Logical, optimised and physical plan; nothing runs."""
+        """Logical, optimised and physical plan; nothing runs, statements that write included."""
+        if not re.match(r"(?is)\s*(select|with|values|from)\b", sql):
+            return self.spark.sql(f"EXPLAIN EXTENDED {sql}").first()[0]
         plan = self.spark.sql(self._translated(sql))._jdf.queryExecution()
         return "\n".join(["==== Logical ====", plan.analyzed().toString(), "==== Optimized ====", plan.optimizedPlan().toString(), "==== Physical ====", plan.executedPlan().toString()])
 

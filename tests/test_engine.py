@@ -109,6 +109,27 @@ def test_explain_runs_nothing(engine):
     assert all(f"==== {x} ====" in text for x in ("Logical", "Optimized", "Physical"))
 
 
+def test_explain_of_an_insert_leaves_the_table(engine, spark):
+    spark.sql("DROP TABLE IF EXISTS kept")
+    engine.sql("CREATE TABLE kept(a int, b varchar(3))")
+    text = engine.sql("EXPLAIN INSERT INTO kept VALUES (1, 'x')").first()[0]
+    assert "Insert" in text and spark.table("kept").count() == 0
+    assert rows(engine.sql("INSERT INTO default.kept SELECT NULL, 'q'")) == [(1,)] and spark.table("kept").count() == 1
+    with pytest.raises(ValueError):
+        engine.sql("INSERT INTO default.kept VALUES (1)")
+    spark.sql("DROP TABLE kept")
+
+
+def test_comparison_of_number_and_string_is_an_error(engine):
+    for bad in ("SELECT a FROM small WHERE a = 'x'", "SELECT a FROM small WHERE a IN (1, 'x')", "SELECT x.a FROM small x JOIN small y ON x.a > 'b'"):
+        with pytest.raises(TypeError):
+            engine.sql(bad)
+
+
+def test_parameters(engine):
+    assert rows(engine.sql("SELECT a FROM small WHERE a >= :least", {"least": 2})) == [(2,), (3,)]
+
+
 def test_generated_tables_are_the_same_every_time(spark):
     one, two = t.generated(spark, 2, 7), t.generated(spark, 2, 7).repartition(3)
     assert rows(one) == rows(two) and one.count() == 2000
