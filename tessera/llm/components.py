@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import dropped, written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id in ``links(a, b)``; root is the smallest id that links lead to.
 
     Alternating large-star and small-star steps: each round hangs every id on the
@@ -18,7 +18,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, "links")
     before = None
-    for _ in range(most_rounds):
+    while True:  # every round but the last has ids hang on smaller ones, so there is a last one
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u hangs on u's smallest
@@ -26,12 +26,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: every smaller neighbour of u hangs on u's smallest, and u as well
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, edges = edges, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        dropped(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as tx
@@ -173,7 +174,7 @@ def shards(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_
     """Automata of the items, each of at most ``shard_words`` words (or of one longer item); items pass the driver one at a time."""
     block: list[tuple[str, np.ndarray]] = []
     size = 0
-    rows = benchmark.select(benchmark[id_col].cast("string").alias("k"), benchmark[text_col].alias("t"))
+    rows = benchmark.select(F.coalesce(benchmark[id_col].cast("string"), F.lit("")).alias("k"), benchmark[text_col].alias("t")).distinct()
     for row in rows.toLocalIterator(prefetchPartitions=True):
         codes = next(item_words(pa.array([row.t], pa.string())))
         if block and size + len(codes) > shard_words:
@@ -265,6 +266,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_item
     """For every document how many words lie inside occurrences of item windows, and which items occur."""
 
     def finish(rows, chunk, spans, hit, items):
+        items = [set(m) for m in items]  # texts of one id are one item
         count = np.array([len(m) for m in items])
         digests = [hashlib.sha256(",".join(sorted(m)).encode()).hexdigest() for m in items]
         columns = [rows.column(0), pa.array(np.diff(spans.bounds)), pa.array(tx.sums(hit.astype(np.int64), spans.bounds)), pa.array(count), pa.array(digests), pa.array(count >= min_items)]

@@ -35,7 +35,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_lines lo
 @dataclass(frozen=True)
 class Settings:
     sample: int = 2000  #: labelled rows that the field is fitted on, at most
-    max_train_lines: int = 200  #: lines of a sampled document that are learned from; scoring reads all
+    train_block: int = 200  #: for learning, a sampled document's lines are a chain for each so many; all are learned from
     steps: int = 120
     rate: float = 0.15
     decay: float = 1e-3
@@ -164,9 +164,15 @@ def fit(rows: list[tuple[str, int]], settings: Settings) -> Field:
     field = Field(np.zeros(width), np.ones(width), np.zeros(3 * width + 1), np.zeros((2, 2)))
     if len({y for _, y in rows}) < 2:
         return field
-    texts = pa.array(["\n".join(t.split("\n")[: settings.max_train_lines]) for t, _ in rows], pa.string())
+    blocks, owner = [], []
+    for i, (text, _) in enumerate(rows):
+        lines_of = text.split("\n")
+        for a in range(0, len(lines_of), settings.train_block):
+            blocks.append("\n".join(lines_of[a : a + settings.train_block]))
+            owner.append(i)
+    owner = np.array(owner)
     features, sizes = [], []
-    for chunk in tx.chunks(texts):
+    for chunk in tx.chunks(pa.array(blocks, pa.string())):
         f, lines, _ = line_features(chunk)
         features.append(f)
         sizes.append(np.diff(lines.bounds))
@@ -174,8 +180,8 @@ def fit(rows: list[tuple[str, int]], settings: Settings) -> Field:
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     field.mean, field.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = neighbours((x - field.mean) / field.scale, bounds)
-    y = np.repeat(np.array([1 - q for _, q in rows]), sizes)
-    weight = np.repeat(1 / np.maximum(sizes, 1), sizes) / len(rows)
+    y = np.repeat(np.array([1 - q for _, q in rows])[owner], sizes)
+    weight = np.repeat(1 / np.maximum(np.bincount(owner, sizes)[owner], 1), sizes) / len(rows)
     inner = np.ones(len(y), dtype=bool)
     inner[bounds[:-1]] = False  # a line with one before it
     at = np.flatnonzero(inner)

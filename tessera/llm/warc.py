@@ -168,15 +168,23 @@ def marked(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Digests are grouped with partial sums, so many copies of a page are one row a
     task; the join that brings the winner back may be split where a digest is common.
+    Rows that repeat id, address and payload are merged before it, and come out as
+    many as they were; one of them at most is the response. A null id is smaller than
+    all others, and a revisit of it refers to nothing.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     base = base.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long")).withColumn("tie", F.xxhash64("url"))
-    groups = base.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 62))).alias("k"), "tie")).alias("best"), F.count(F.lit(1)).alias("n"))
+    same = ["page_id", "url", "sha", "size", "tie"]
+    if base.groupBy(same).count().where("count > 1").take(1):
+        base = base.groupBy(same).agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("times"))
+    else:
+        base = base.withColumn("times", F.lit(1).cast("long"))
+    rank = F.struct(F.col("page_id").isNotNull().alias("known"), F.col("page_id").alias("k"), "tie")
+    groups = base.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.max(rank).alias("best"), F.sum("times").alias("n"))
     groups = groups.where("n > 1").select(F.col("sha").alias("other"), "best")
-    return base.join(groups, F.col("sha") == F.col("other"), "left").select(
-        "page_id", "url", "payload",
-        F.when(F.col("best").isNotNull() & ((F.coalesce("page_id", F.lit(-(1 << 62))) != F.col("best.k")) | (F.coalesce("tie", F.lit(0)) != F.coalesce("best.tie", F.lit(0)))), F.col("best.k")).alias("refers_to"),
-    )
+    found = base.join(groups, F.col("sha") == F.col("other"), "left").withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
+    revisit = F.col("best").isNotNull() & (~rank.eqNullSafe(F.col("best")) | (F.col("copy") > 1))
+    return found.select("page_id", "url", "payload", F.when(revisit, F.col("best.k")).alias("refers_to"), F.when(revisit, "revisit").otherwise("response").alias("kind"))
 
 
 def write_archives(pages: DataFrame, root: str, min_bytes: int = 0) -> DataFrame:
@@ -186,12 +194,12 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0) -> DataFrame
         out, names = None, [f.split()[0] for f in CAPTURE.split(", ")]
         for batch in batches:
             rows = []
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, refers_to, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None or out.size > ARCHIVE_BYTES:
                     if out is not None:
                         out.done()
                     out = _File(root, f"{uuid.uuid4().hex}.warc.gz")
-                kind, sha = "response" if refers_to is None else "revisit", digest(payload)
+                sha = digest(payload)
                 rows.append((url_key(url), page_id, out.name, *out.append(pack_member(record(kind, page_id, url, payload, sha, refers_to))), sha, len(payload), kind))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)

@@ -72,3 +72,12 @@ def test_spans_go_and_the_rest_stays(spark):
     b = spark.createDataFrame([(7, item)], "item_id long, text string")
     got = {r.doc_id: r.text for r in dc.decontaminate(docs, b).collect()}
     assert got == {1: f"Start. {rest} ! End", 3: rest, 4: None, 5: "one two three four five six seven"}
+
+
+def test_repeated_items_and_null_ids_count_once(spark):
+    """A row that is repeated is one item, texts of one id are one item, and items without an id are one with an empty one."""
+    words = "one two three four five six seven eight"
+    bench = spark.createDataFrame([("7", words), ("7", words), ("7", "nine ten"), (None, "red blue"), (None, "red green")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"x {words} nine ten y"), (2, "red blue red green"), (3, f"{words} red blue")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in dc.report(docs, bench).collect()}
+    assert got == {1: (10, 1, False), 2: (4, 1, False), 3: (10, 2, True)}
