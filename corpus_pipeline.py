@@ -42,12 +42,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays; of rows with one id, one."""
+    """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays; of rows with one id that with the smallest text, and of rows that repeat it whole one."""
     groups = ngram_join.join(docs, NEAR).where("component_id = doc_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi")
-    repeats = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    if repeats.take(1):
-        kept = kept.dropDuplicates(["doc_id"])
+    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").take(1):
+        row = F.struct(F.col("text").isNull().alias("none"), F.col("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])
+        kept = kept.groupBy("doc_id").agg(F.min(row).alias("row"))  # partial minima: copies of an id meet before the shuffle
+        kept = kept.select(*["doc_id" if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
     return kept.unionByName(docs.where("doc_id is null"))
 
 
