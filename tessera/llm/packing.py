@@ -317,13 +317,21 @@ def _fractional(left: np.ndarray, capacity: int, step: float, most: int) -> dict
 
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY, step: float = 0.5, iterations: int = 600) -> Plan:
-    """histogram[l]: how many pieces have length l. The work depends on the capacity, not on the counts."""
+    """histogram[l]: how many pieces have length l. The work depends on the capacity, not on the counts.
+
+    The rounded linear program with best fit for the rest, or best fit alone where that needs fewer sequences.
+    """
+    rounded, greedy = (_planned(histogram, capacity, step, n) for n in (iterations, 0))
+    return rounded if rounded.n_sequences <= greedy.n_sequences else greedy
+
+
+def _planned(histogram: np.ndarray, capacity: int, step: float, iterations: int) -> Plan:
     left = histogram.astype(np.int64).copy()
     out = Plan(capacity)
     if left[capacity]:
         out.chosen.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    if left.sum() >= capacity:
+    if iterations and left.sum() >= capacity:
         x = _fractional(left, capacity, step, iterations)
         use = np.zeros(len(left))
         for key, n in x.items():

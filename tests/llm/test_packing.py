@@ -66,3 +66,18 @@ def test_pack(spark):
             want.append((i % 20, k, start, end - start, zlib.crc32(np.array(ids[start:end], "<u4").tobytes())))
             start = end
     assert sorted(r[:5] for r in rows) == sorted(want)
+
+
+@pytest.mark.parametrize("low,high,most", [(1, 1024, 100_089), (300, 399, 76_887)])
+def test_plan_at_full_capacity(low, high, most):
+    """Where the linear program helps (lengths that fill a sequence in threes), and where best fit alone is better."""
+    rng = np.random.default_rng(0)
+    histogram = np.bincount(rng.integers(low, high + 1, 200_000), minlength=1025)
+    plan = packing.plan(histogram)
+    used = np.zeros(1025, dtype=np.int64)
+    for lengths, n in plan.chosen:
+        assert sum(lengths) <= 1024
+        for k in lengths:
+            used[k] += n
+    bound = -(-int((histogram * np.arange(1025)).sum()) // 1024)
+    assert (used == histogram).all() and plan.n_sequences <= (bound * 1.002 if low == 1 else most * 1.01)
