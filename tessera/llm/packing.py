@@ -241,41 +241,49 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col]).mapInArrow(run, PIECES)
 
 
-def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of most value that fits; value[l] is that of length l, 0 for lengths not on offer.
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """best[c]: the most value that fits c tokens, any number of each length; took[c]: one length of such a choice, 0 where a token stays free.
 
-    Unbounded knapsack: best[c] is the most value that fits c tokens.
+    value[l] is that of length l, 0 for lengths not on offer.
     """
-    lengths = np.flatnonzero(value)
-    worth = value[lengths]
+    worth = np.where(value > 0, value, -np.inf)
     best = np.zeros(capacity + 1)
     took = np.zeros(capacity + 1, dtype=np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        k = upto[c]
-        if k:
-            total = best[c - lengths[:k]] + worth[:k]
-            j = int(total.argmax())
-            best[c], took[c] = total[j], lengths[j]
-        if best[c - 1] > best[c]:
-            best[c], took[c] = best[c - 1], 0
+        n = min(c, len(worth) - 1)
+        total = best[c - n : c][::-1] + worth[1 : n + 1]
+        j = int(total.argmax()) if n else 0
+        if n and total[j] >= best[c - 1]:
+            best[c], took[c] = total[j], j + 1
+        else:
+            best[c] = best[c - 1]
+    return best, took
+
+
+def traced(took: np.ndarray, capacity: int) -> dict[int, int]:
+    """The choice behind best[capacity]: how many of each length."""
     out: dict[int, int] = {}
     c = capacity
     while c > 0:
-        if took[c]:
-            out[int(took[c])] = out.get(int(took[c]), 0) + 1
-            c -= int(took[c])
-        else:
-            c -= 1
+        k = int(took[c])
+        if k:
+            out[k] = out.get(k, 0) + 1
+        c -= k or 1
     return out
 
 
+def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths of most value that fits."""
+    return traced(knapsack(value, capacity)[1], capacity)
+
+
 @dataclass
 class Plan:
     """Which lengths the sequences hold: (lengths in order, how many sequences)."""
 
     capacity: int
     chosen: list[tuple[tuple[int, ...], int]] = field(default_factory=list)
+    by_program: int = 0  #: pieces that the rounded linear program places
 
     @property
     def n_sequences(self) -> int:
@@ -297,51 +305,82 @@ class Plan:
         return {k: tuple(np.array(c, dtype=np.int64) for c in zip(*v, strict=True)) for k, v in runs.items()}
 
 
-def _fractional(left: np.ndarray, capacity: int, step: float, most: int) -> dict[tuple, float]:
-    """Fractional counts of configurations by multiplicative weights: each covered length gets cheaper by what of its demand was met."""
-    on = left > 0
-    size = np.arange(len(left), dtype=float)
-    covered = np.zeros(len(left))
-    x: dict[tuple, float] = {}
+@dataclass
+class Fractional:
+    """A fractional cover of all lengths, and what no cover can do without."""
+
+    counts: dict[tuple, float]
+    lower: float  #: bound on the number of sequences, by the best prices found
+
+    @property
+    def total(self) -> float:
+        return sum(self.counts.values())
+
+
+def fractional(demand: np.ndarray, capacity: int, gap: float = 0.002, most: int = 400, step: float = 0.05, sharp: float = 2.0) -> Fractional:
+    """The configuration linear program by multiplicative weights.
+
+    A length's price falls exponentially with the share of its demand that is
+    covered. Each round prices all lengths and runs one knapsack, which tells for
+    every length the best configuration that holds it; those within ``step`` of the
+    best one are taken, a little each, and no length grows by more than ``step`` in
+    a round. Any prices bound the optimum from below: the worth of the demand over
+    that of the best configuration. It ends when cover and bound are within ``gap``.
+    """
+    on = np.flatnonzero(demand)
+    size = np.arange(len(demand), dtype=float)
+    covered = np.zeros(len(demand))
+    counts: dict[tuple, float] = {}
+    rng = np.random.default_rng(0)
+    total, lower = 0.0, float(demand @ size) / capacity  # sizes are prices, too
     for _ in range(most):
-        value = np.where(on, size * np.exp(-8.0 * np.minimum(covered, 60)) + 1e-9 * size, 0.0)
-        config = best_configuration(value, capacity)
-        key = tuple(sorted(config.items(), reverse=True))
-        amount = step * min(left[k] / n for k, n in key)
-        x[key] = x.get(key, 0.0) + amount
-        for k, n in key:
-            covered[k] += amount * n / left[k]
-        if covered[on].min() >= 1:
+        price = np.zeros(len(demand))
+        price[on] = size[on] * np.exp(-sharp * (covered[on] - covered[on].min())) * (1 + 1e-4 * rng.random(len(on)))  # ties fall anew in each round
+        best, took = knapsack(price, capacity)
+        lower = max(lower, float(demand @ price) / best[capacity])
+        room = np.full(len(demand), step)
+        for k in on[np.argsort(covered[on], kind="stable")].tolist():
+            if price[k] + best[capacity - k] < (1 - step) * best[capacity]:
+                continue
+            config = traced(took, capacity - k)
+            config[k] = config.get(k, 0) + 1
+            amount = min(room[l] * demand[l] / n for l, n in config.items())
+            if amount <= 0:
+                continue
+            key = tuple(sorted(config.items(), reverse=True))
+            counts[key] = counts.get(key, 0.0) + amount
+            total += amount
+            for l, n in key:
+                room[l] -= amount * n / demand[l]
+                covered[l] += amount * n / demand[l]
+        if (least := covered[on].min()) > 0 and total / least <= (1 + gap) * lower:
             break
-    return x
+    least = covered[on].min()
+    return Fractional({k: n / least for k, n in counts.items()} if least > 0 else {}, lower)
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY, step: float = 0.5, iterations: int = 600) -> Plan:
+def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
     """histogram[l]: how many pieces have length l. The work depends on the capacity, not on the counts.
 
     The rounded linear program with best fit for the rest, or best fit alone where that needs fewer sequences.
     """
-    rounded, greedy = (_planned(histogram, capacity, step, n) for n in (iterations, 0))
+    rounded, greedy = (_planned(histogram, capacity, solve) for solve in (True, False))
     return rounded if rounded.n_sequences <= greedy.n_sequences else greedy
 
 
-def _planned(histogram: np.ndarray, capacity: int, step: float, iterations: int) -> Plan:
+def _planned(histogram: np.ndarray, capacity: int, solve: bool) -> Plan:
     left = histogram.astype(np.int64).copy()
     out = Plan(capacity)
     if left[capacity]:
         out.chosen.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    if iterations and left.sum() >= capacity:
-        x = _fractional(left, capacity, step, iterations)
-        use = np.zeros(len(left))
-        for key, n in x.items():
-            for k, m in key:
-                use[k] += n * m
-        over = max(1.0, (use[left > 0] / left[left > 0]).max())
-        for key, n in sorted(x.items(), key=lambda kv: -kv[1]):
-            whole = min(int(n / over), *(int(left[k] // m) for k, m in key))
-            if whole > 0 and sum(k * m for k, m in key) == capacity:
+    if solve and left.any():
+        x = fractional(left, capacity)
+        for key, n in sorted(x.counts.items(), key=lambda kv: -kv[1]):  # rounded down, and to what the larger ones leave
+            whole = min(int(n), *(int(left[k] // m) for k, m in key))
+            if whole > 0:
                 out.chosen.append((tuple(k for k, m in key for _ in range(m)), whole))
+                out.by_program += whole * sum(m for _, m in key)
                 for k, m in key:
                     left[k] -= whole * m
     size = np.arange(capacity + 1, dtype=float)
