@@ -7,9 +7,14 @@ together. The document's quality is the share of its characters in good lines,
 by the forward-backward marginals: the sum of length times P(good), over the sum
 of lengths.
 
-Learning: every line of a labelled document carries the document's label, on a
-bounded sample of labelled rows (``Settings.sample``) that come to the driver.
-Scoring is one pass over whole texts, without a shuffle.
+Learning: the labels of lines are latent; each line has seen its document's label
+through noise (a good line may stand in a bad document, seldom the reverse). The
+field climbs the likelihood of what was seen: its slope is the difference of the
+expected counts with the document labels and without, both by forward-backward.
+It learns on a bounded sample of labelled rows (``Settings.sample``) that come to
+the driver. Scoring is one pass over whole texts, without a shuffle.
+
+A good line beside a run of bad ones may be called bad: its neighbour is evidence.
 
 Defined results: a null or empty text is one empty line, scored as such;
 repeated rows are scored each for itself; without labels all scores are one
@@ -40,6 +45,12 @@ class Settings:
     rate: float = 0.15
     decay: float = 1e-3
     cut: float = 0.3
+    stray_good: float = 0.15  #: how often a good line stands in a bad document
+    stray_bad: float = 0.01  #: how often a bad line stands in a good document
+
+    def evidence(self, bad_document: np.ndarray) -> np.ndarray:
+        """What a document's label says for bad, for each of its lines: a log ratio."""
+        return np.where(bad_document, np.log((1 - self.stray_bad) / self.stray_good), np.log(self.stray_bad / (1 - self.stray_good)))
 
 
 @dataclass
@@ -119,8 +130,8 @@ def neighbours(features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.concatenate([features, before, after, np.ones((len(features), 1))], axis=1)
 
 
-def marginals(evidence: np.ndarray, bounds: np.ndarray, switch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(bad) of each line, and the expected count of each pair of labels of neighbours, over all texts.
+def marginals(evidence: np.ndarray, bounds: np.ndarray, switch: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """P(bad) of each line, and the expected count of each pair of labels of neighbours, over all texts (each line's pair with the next weighed by ``weight``).
 
     Forward-backward in scaled form, all texts at once: step t handles line t of every text that has it.
     """
@@ -143,7 +154,8 @@ def marginals(evidence: np.ndarray, bounds: np.ndarray, switch: np.ndarray) -> t
         at = first[: alive[t + 1]] + t
         onward = emit[at + 1] * back[at + 1]
         both = ahead[at][:, :, None] * move[None] * onward[:, None, :]
-        expected += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        both /= both.sum(axis=(1, 2), keepdims=True)
+        expected += both.sum(axis=0) if weight is None else np.tensordot(weight[at], both, 1)
         b = onward @ move.T
         back[at] = b / b.sum(axis=1, keepdims=True)
     joint = ahead * back
@@ -158,8 +170,16 @@ def document_scores(bad: np.ndarray, chars: np.ndarray, bounds: np.ndarray) -> n
     return np.clip(tx.sums((1 - bad) * weight, bounds) / np.maximum(tx.sums(weight, bounds), 1e-12), 0, 1)
 
 
+def likelihood_slope(theta: np.ndarray, x: np.ndarray, bounds: np.ndarray, seen: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slope of the log likelihood of what the lines have seen, by the weights of evidence and of pairs: expected counts with it less those without."""
+    evidence, switch = x @ theta[:-4], theta[-4:].reshape(2, 2)
+    bad, pairs = marginals(evidence, bounds, switch, weight)
+    bad_seen, pairs_seen = marginals(evidence + seen, bounds, switch, weight)
+    return np.concatenate([x.T @ ((bad_seen - bad) * weight), (pairs_seen - pairs).ravel()])
+
+
 def fit(rows: list[tuple[str, int]], settings: Settings) -> Field:
-    """Gradient steps (Adam) on the conditional likelihood of the line labels, documents weighing alike."""
+    """Gradient steps (Adam) on the likelihood of the document labels that lines have seen, documents weighing alike."""
     width = line_features(next(tx.chunks(pa.array([""]))))[0].shape[1]
     field = Field(np.zeros(width), np.ones(width), np.zeros(3 * width + 1), np.zeros((2, 2)))
     if len({y for _, y in rows}) < 2:
@@ -180,18 +200,12 @@ def fit(rows: list[tuple[str, int]], settings: Settings) -> Field:
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     field.mean, field.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = neighbours((x - field.mean) / field.scale, bounds)
-    y = np.repeat(np.array([1 - q for _, q in rows])[owner], sizes)
+    seen = settings.evidence(np.repeat(np.array([1 - q for _, q in rows])[owner], sizes) == 1)
     weight = np.repeat(1 / np.maximum(np.bincount(owner, sizes)[owner], 1), sizes) / len(rows)
-    inner = np.ones(len(y), dtype=bool)
-    inner[bounds[:-1]] = False  # a line with one before it
-    at = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at - 1], y[at]), 1.0)
     theta = np.concatenate([field.weights, np.zeros(4)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, settings.steps + 1):
-        bad, expected = marginals(x @ theta[:-4], bounds, theta[-4:].reshape(2, 2))
-        slope = np.concatenate([x.T @ ((y - bad) * weight), (seen - expected).ravel() / max(len(at), 1) * 0.25]) - settings.decay * theta
+        slope = likelihood_slope(theta, x, bounds, seen, weight) - settings.decay * theta
         slope[3 * width] += settings.decay * theta[3 * width]
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta += settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6) * (1 - step / (settings.steps + 1))
@@ -199,8 +213,8 @@ def fit(rows: list[tuple[str, int]], settings: Settings) -> Field:
     return field
 
 
-def chunk_scores(chunk: tx.Chunk, field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score, number of lines and number of bad ones of each text."""
+def line_verdicts(chunk: tx.Chunk, field: Field) -> tuple[np.ndarray, tx.Spans, np.ndarray]:
+    """P(bad) of each line, the lines, and their lengths in characters."""
     f, lines, chars = line_features(chunk)
     f -= field.mean
     f /= field.scale
@@ -211,7 +225,12 @@ def chunk_scores(chunk: tx.Chunk, field: Field) -> tuple[np.ndarray, np.ndarray,
     inner = np.flatnonzero(inner[:-1])  # lines with one before them
     evidence[inner] += (f @ before)[inner - 1]
     evidence[inner - 1] += (f @ after)[inner]
-    bad, _ = marginals(evidence, lines.bounds, field.switch)
+    return marginals(evidence, lines.bounds, field.switch)[0], lines, chars
+
+
+def chunk_scores(chunk: tx.Chunk, field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, number of lines and number of bad ones of each text."""
+    bad, lines, chars = line_verdicts(chunk, field)
     return document_scores(bad, chars, lines.bounds), np.diff(lines.bounds), tx.sums((bad > 0.5).astype(np.int64), lines.bounds)
 
 

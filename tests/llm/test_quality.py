@@ -81,3 +81,49 @@ def test_scoring_agrees_with_the_wide_table():
     x = quality.neighbours((f - field.mean) / field.scale, lines.bounds)
     bad, _ = quality.marginals(x @ field.weights, lines.bounds, field.switch)
     assert np.allclose(quality.chunk_scores(chunk, field)[0], quality.document_scores(bad, chars, lines.bounds))
+
+
+def test_slope_of_the_likelihood():
+    """The slope against differences of the likelihood, summed over all labellings."""
+    rng = np.random.default_rng(4)
+    sizes = [4, 1, 3]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    x, seen = rng.normal(size=(8, 3)), rng.normal(size=8)
+    weight = np.repeat([0.5, 0.2, 0.3], sizes)
+
+    def likelihood(theta):
+        total, e, switch = 0.0, x @ theta[:-4], theta[-4:].reshape(2, 2)
+        for a, b in itertools.pairwise(bounds):
+            sums = []
+            for given in (e + seen, e):
+                labels = itertools.product((0, 1), repeat=b - a)
+                sums.append(sum(np.exp(sum(given[a + i] * (y[i] - 0.5) for i in range(b - a)) + sum(switch[p] for p in itertools.pairwise(y))) for y in labels))
+            total += weight[a] * np.log(sums[0] / sums[1])
+        return total
+
+    theta = rng.normal(size=7)
+    want = [(likelihood(theta + d) - likelihood(theta - d)) / 2e-5 for d in np.eye(7) * 1e-5]
+    # what was seen shifts the log ratio by half up and half down, a constant of the weights
+    assert np.allclose(quality.likelihood_slope(theta, x, bounds, seen, weight), want, atol=1e-6)
+
+
+def test_bad_lines_of_a_mixed_document_are_located():
+    """Learned from labels of documents alone, to a line at each border (its neighbour is junk); the transitions decide a doubtful line by its neighbours."""
+    rng = np.random.default_rng(6)
+    field = quality.fit([(t, y) for _, t, y in corpus(400, 2)], quality.Settings())
+    line = lambda: ["".join(rng.choice(list("abcdefghij"), rng.integers(1, 9))) for _ in range(12)]
+    lines = [" ### ".join(line()) if 10 <= k < 20 else " ".join(line()) + "." for k in range(30)]
+    bad, _, _ = quality.line_verdicts(next(tx.chunks(pa.array(["\n".join(lines)]))), field)
+    assert set(range(10, 20)) <= {k for k in range(30) if bad[k] > 0.5} <= set(range(9, 21))
+    assert np.diag(field.switch).min() > max(field.switch[0, 1], field.switch[1, 0])
+    doubt = np.where((np.arange(30) >= 10) & (np.arange(30) < 20), 3.0, -3.0)
+    doubt[15] = -0.5
+    ends = np.array([0, 30])
+    assert quality.marginals(doubt, ends, field.switch)[0][15] > 0.5 > quality.marginals(doubt, ends, np.zeros((2, 2)))[0][15]
+
+
+def test_repeated_rows_score_alike(spark):
+    field = quality.fit([(t, y) for _, t, y in corpus(100, 3)], quality.Settings(steps=20))
+    docs = spark.createDataFrame([(1, "a b c."), (1, "a b c."), (None, None), (None, None)], "doc_id long, text string")
+    scores = [(r.doc_id, r.score) for r in quality.score(docs, field).collect()]
+    assert len(scores) == 4 and len(set(scores)) == 2
