@@ -254,6 +254,30 @@ plain("div_mod", "SELECT p_partkey, p_size % 7 AS m, p_size * 3 AS t, p_size / 4
 plain("string_functions", "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, substring(n_name, 2, 3) AS s, length(n_name) AS n, replace(n_name, 'A', 'b') AS r, concat(n_name, '-', n_name) AS c FROM nation", "nation",
       "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, substring(n_name, 2, 3) AS s, length(n_name)::INT AS n, replace(n_name, 'A', 'b') AS r, concat(n_name, '-', n_name) AS c FROM nation")
 plain("agg_median", "SELECT o_orderstatus, percentile(o_custkey, 0.5) AS m FROM orders GROUP BY o_orderstatus", "orders", "SELECT o_orderstatus, quantile_cont(o_custkey, 0.5)::DOUBLE AS m FROM orders GROUP BY o_orderstatus")
+plain("null_forms", "SELECT p_partkey, NULLIF(p_size, 7) AS a, COALESCE(NULLIF(p_size, 7), 0) AS b, NULLIF(p_size, 7) IS DISTINCT FROM 8 AS c FROM part", "part")
+plain("agg_stddev", "SELECT o_orderstatus, stddev_pop(o_custkey) AS s, var_samp(o_custkey) AS v FROM orders GROUP BY o_orderstatus", "orders")
+plain("agg_ordered", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "nation",
+      "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+plain("pivot", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o))", "orders",
+      "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o FROM orders GROUP BY o_orderpriority")
+plain("table_function", "SELECT id, n_name FROM range(3, 20) JOIN nation ON id = n_nationkey", "nation", "SELECT n_nationkey::BIGINT AS id, n_name FROM nation WHERE n_nationkey >= 3 AND n_nationkey < 20")
+plain("values_text", "SELECT a, b, n_name FROM VALUES (1, 'x'), (2, NULL) AS v(a, b) JOIN nation ON a = n_nationkey", "nation", "SELECT a, b, n_name FROM (VALUES (1, 'x'), (2, NULL)) v(a, b) JOIN nation ON a = n_nationkey")
+
+
+@query("parameters", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 AND c_acctbal > 100")
+def parameters(spark: SparkSession, folder: str) -> DataFrame:
+    t.register(spark, folder, ["customer"])
+    return Engine(spark).sql("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = :nation AND c_acctbal > :least", {"nation": 3, "least": 100})
+
+
+@query("view_and_drop", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def view_and_drop(spark: SparkSession, folder: str) -> DataFrame:
+    t.register(spark, folder, ["nation"])
+    engine = Engine(spark)
+    engine.sql("CREATE OR REPLACE TEMPORARY VIEW tessera_view AS SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+    out = engine.sql("SELECT n_nationkey, n_name FROM tessera_view")
+    engine.sql("DROP VIEW tessera_view")
+    return out
 
 
 FLAGSHIP = """

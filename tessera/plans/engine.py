@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,9 +126,29 @@ class Engine:
             by.setdefault((r.number, r.table, r.rows), []).append((r.column, r.type, r.length))
         return render.table_list([(*k, v) for k, v in by.items()])
 
+    def profile(self, sql: str) -> list[tuple[int, str, dict[str, int]]]:
+        """Runs a query and reads what its operators counted: (depth, operator, metrics), from the top of the plan that ran."""
+        run = self.sql(sql)._jdf.queryExecution()
+        run.toRdd().count()
+        return list(_operators(run.executedPlan(), 0))
+
     def show(self, sql: str) -> str:
         """Run, collect and render; the time is that of planning and running."""
         began = time.perf_counter()
         df = self.sql(sql)
         rows = df.collect()
         return render.grid(df.columns, rows, time.perf_counter() - began, max(1, -(-len(rows) // 4096)))
+
+
+def _operators(node, depth: int) -> Iterator[tuple[int, str, dict[str, int]]]:
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        yield from _operators(node.executedPlan(), depth)
+    elif kind.endswith("QueryStageExec"):
+        yield from _operators(node.plan(), depth)
+    else:
+        counted, names = node.metrics(), node.metrics().keys().toSeq()
+        yield depth, node.nodeName(), {names.apply(i): counted.apply(names.apply(i)).value() for i in range(names.size())}
+        children = node.children()
+        for i in range(children.size()):
+            yield from _operators(children.apply(i), depth + 1)

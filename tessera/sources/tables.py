@@ -12,8 +12,17 @@ RELATIONAL = ("region", "nation", "customer", "supplier", "part", "orders", "lin
 CORPUS = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def load(spark: SparkSession, folder: str, name: str, kind: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
+    """A table of a folder; ``kind`` is parquet, orc, json or csv (with a header). Text formats are read once more for their types where no schema is given."""
+    reader = spark.read.format(kind)
+    if kind == "csv":
+        reader = reader.option("header", True).option("inferSchema", schema is None)
+    return (reader.schema(schema) if schema else reader).load(f"{folder}/{name}.{kind}")
+
+
+def save(df: DataFrame, folder: str, name: str, kind: str = "parquet") -> None:
+    """What ``load`` reads."""
+    df.write.mode("errorifexists").options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(f"{folder}/{name}.{kind}")
 
 
 def register(spark: SparkSession, folder: str, names: Iterable[str] = RELATIONAL + CORPUS) -> None:

@@ -154,3 +154,18 @@ def test_grid():
 def test_statements_split_outside_of_strings():
     assert statements("SELECT ';' AS a; SELECT 2") == ["SELECT ';' AS a", "SELECT 2"]
     assert Dialect(lambda s: []).translate("VALUES (1)") == "VALUES (1)"
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
+def test_formats_round_trip(spark, tmp_path, kind):
+    df = t.values(spark, [(1, "x"), (2, None), (-3, "a, b")], ["a", "b"])
+    t.save(df, str(tmp_path), "t", kind)
+    for schema in (None, df.schema):
+        assert sorted(map(str, ((int(r.a), r.b) for r in t.load(spark, str(tmp_path), "t", kind, schema).select("a", "b").collect()))) == sorted(map(str, [(1, "x"), (2, None), (-3, "a, b")]))
+
+
+def test_profile_counts_rows_of_operators(engine):
+    engine.generate(10)
+    found = engine.profile("SELECT colA, count(colB) AS n FROM random10 WHERE colA > 10 GROUP BY colA")
+    assert found[0][0] == 0 and any("HashAggregate" in name and m.get("numOutputRows", 0) > 0 for _, name, m in found)
+    assert any("Exchange" in name for _, name, _ in found)
