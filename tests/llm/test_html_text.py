@@ -38,3 +38,12 @@ def test_query(spark):
     rows = extract(df).collect()
     assert len(rows) == len(CASES) + 1 and all(r.n_chars == len(r.text) for r in rows)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_a_very_long_page(spark):
+    """Repeated rows come back as often as they stand; nothing of a long article is cut."""
+    long = "<article>" + f"<p>{LONG}</p>" * 5000 + "</article>"
+    df = spark.createDataFrame([(1, "u", f"<article><p>{LONG}</p></article>")] * 3 + [(2, "v", long)], "page_id long, url string, html string")
+    rows = extract(df).collect()
+    assert sorted(r.page_id for r in rows) == [1, 1, 1, 2] and {r.text for r in rows if r.page_id == 1} == {LONG}
+    assert next(r.text for r in rows if r.page_id == 2) == "\n".join([LONG] * 5000)

@@ -71,3 +71,14 @@ def test_chunks_do_not_change_a_score(monkeypatch):
     for limit in (100, 10_000_000):
         scores.append(np.concatenate([toxicity.noisy_or(toxicity.sentence_logits(b, model), b.bounds, model.bias) for c in tx.chunks(texts, limit) for b in [toxicity.bags(c)]]))
     assert np.allclose(*scores)
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    """Repeated rows score alike, each for itself; in a long text the offending sentence is found wherever it stands."""
+    model = toxicity.fit([(t, y) for _, t, y in corpus(600, 6)], toxicity.Settings())
+    calm = ". ".join(" ".join(f"w{(7 * i + k) % 300}" for k in range(8)) for i in range(20_000))
+    docs = spark.createDataFrame([(1, "w1 w2 vile thing.")] * 3 + [(2, calm + ". w1 w2 w3 w4 vile thing. w5 w6."), (None, None), (None, None)], "doc_id long, text string")
+    rows = toxicity.score(docs, model).collect()
+    assert len(rows) == 6 and len({r.score for r in rows if r.doc_id == 1}) == 1 and len({r.score for r in rows if r.doc_id is None}) == 1
+    long = next(r for r in rows if r.doc_id == 2)
+    assert long.worst_start >= len(calm) and long.score >= 0.5
