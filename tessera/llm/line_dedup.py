@@ -15,8 +15,11 @@
 4.  Those that meet and share nearly half of their sketches are candidates. They
     link when their edit distance is at most ``1 - similarity`` of the longer line.
     Small buckets give their pairs. In a larger one all classes are held against
-    leaders; what no leader links meets again in buckets of the block and one more
-    sketch word, which every candidate pair has in common, too.
+    leaders. What that does not connect with most of a bucket meets all of it, if it
+    is little; if not, in buckets of the block and one more sketch word: of a class
+    the words that fewest of the bucket have, but as many as a candidate pair must
+    share, less one. Those that need to share no more than all of a bucket do meet
+    all of it. So every candidate pair is compared or connected.
 5.  Of each connected group of classes the occurrence with the smallest id and
     line number stays; all other occurrences go.
 
@@ -47,11 +50,10 @@ class Settings:
     few: int = 12  #: lines of at most so many distinct words have blocks of three as well
     alike: int = 45  #: percent of the shorter sketch that candidates have in common
     by_chars: int = 1000  #: longer lines are compared by words
-    light: int = 32  #: buckets of up to so many classes give all their pairs
+    light: int = 32  #: buckets of up to so many classes give all their pairs at once
     #: Rows of so many bytes at most are sent to all executors; more are joined by a shuffle.
     sent_bytes: int = 16 << 20
     rounds: int = 3  #: of leaders in larger buckets, before they are split
-    levels: int = 3  #: of splits
 
     @property
     def reach(self) -> Fraction:
@@ -95,8 +97,8 @@ def sketch(words: Column, s: Settings) -> Column:
 
 
 def hashed_lines(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, mark, line, h1, sketch) for each line."""
-    lines = every_line(docs).select("doc_id", "mark", "line", F.xxhash64("words").alias("h1"), once(sketch(F.col("words"), s)).alias("sketch"))
+    """(doc_id, mark, line, h1, chars, sketch) for each line."""
+    lines = every_line(docs).select("doc_id", "mark", "line", F.xxhash64("words").alias("h1"), F.length(F.array_join("words", " ")).alias("chars"), once(sketch(F.col("words"), s)).alias("sketch"))
     return lines.withColumn("sketch", F.when(F.size("sketch") >= s.min_words, F.col("sketch")))
 
 
@@ -125,8 +127,14 @@ def _most(longest: Column, reach: Fraction) -> Column:
 
 
 def _may_link(a: Column, b: Column, s: Settings) -> Column:
-    """Both have (id, sketch): the sketches agree."""
-    return 100 * F.size(F.array_intersect(a["sketch"], b["sketch"])) >= s.alike * F.least(F.size(a["sketch"]), F.size(b["sketch"]))
+    """Both have (sketch, chars): the lengths allow a link, and the sketches agree."""
+    near = F.abs(a["chars"] - b["chars"]) <= _most(F.greatest(a["chars"], b["chars"]), s.reach)
+    return near & (100 * F.size(F.array_intersect(a["sketch"], b["sketch"])) >= s.alike * F.least(F.size(a["sketch"]), F.size(b["sketch"])))
+
+
+def _need(words: Column, s: Settings) -> Column:
+    """How many words a candidate pair shares whose shorter sketch is this."""
+    return F.ceil(F.size(words) * s.alike / 100).cast("int")
 
 
 def lettered(words: Column) -> Column:
@@ -140,7 +148,15 @@ def with_texts(rows: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose edit distance is at most ``reach`` of the longer line.
+    """The pairs (a, b) whose edit distance is at most ``reach`` of the longer line."""
+    one = _small(pairs, 80, s)  # the texts are not dealt out for a few pairs
+    for side, x in (("a", "x"), ("b", "y")):
+        one = one.join(texts.select(F.col("id").alias(side), F.struct("norm", "letters", "longest").alias(x)), side)
+    return _like(one, s).select("a", "b")
+
+
+def _like(one: DataFrame, s: Settings) -> DataFrame:
+    """The rows whose texts x and y are like.
 
     An edit of a word is at most as many edits of characters as the longest word
     has, and one for the blank. Pairs that few enough edits of words take from one to
@@ -148,23 +164,20 @@ def linked(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     for lines of more than ``by_chars`` of them the edits of words, each taken as
     one mean word.
     """
-    one = _small(pairs, 80, s)  # the texts are not dealt out for a few pairs
-    for side, x in (("a", "x"), ("b", "y")):
-        one = one.join(texts.select(F.col("id").alias(side), F.struct("norm", "letters", "longest").alias(x)), side)
     longest = F.greatest(F.length("x.norm"), F.length("y.norm"))
-    one = one.select("a", "b", "x", "y", once(longest).alias("most")).withColumn("long", F.col("most") > s.by_chars).withColumn("most", _most(F.col("most"), s.reach))
+    one = one.select("*", once(longest).alias("most")).withColumn("long", F.col("most") > s.by_chars).withColumn("most", _most(F.col("most"), s.reach))
     one = one.where(F.abs(F.length("x.norm") - F.length("y.norm")) <= F.col("most"))
     word = F.when(F.col("long"), F.greatest(F.length("x.norm"), F.length("y.norm")) / F.greatest(F.length("x.letters"), F.length("y.letters"))).otherwise(F.greatest("x.longest", "y.longest") + 1)
     one = one.withColumn("edits", F.floor(F.col("most") / word).cast("int"))
-    return one.where(F.expr("levenshtein(x.letters, y.letters, edits) >= 0 or (not long and levenshtein(x.norm, y.norm, most) >= 0)")).select("a", "b")  # -1 beyond the limit
+    return one.where(F.expr("levenshtein(x.letters, y.letters, edits) >= 0 or (not long and levenshtein(x.norm, y.norm, most) >= 0)"))  # -1 beyond the limit
 
 
 def _pairs_in(rows: DataFrame, s: Settings) -> DataFrame:
-    """The candidate pairs of small buckets (at most ``light`` classes each), but those of two that leaders have linked."""
-    held = rows.groupBy("key").agg(F.collect_list(F.struct("id", "sketch", "led")).alias("l"))
-    pairs = held.select("l", F.explode("l").alias("p")).where("not p.led")
-    pairs = pairs.select("p", F.explode(F.filter("l", lambda q: ((q["id"] > F.col("p.id")) | q["led"]) & (q["id"] != F.col("p.id")) & _may_link(q, F.col("p"), s))).alias("q"))
-    return pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
+    """The candidate pairs of small buckets (at most ``light`` classes each), but those of two that are connected."""
+    held = rows.groupBy("key").agg(F.collect_list(F.struct("id", "sketch", "chars", "root")).alias("l"))
+    pairs = held.select("l", F.explode("l").alias("p"))
+    pairs = pairs.select("p", F.explode(F.filter("l", lambda q: (q["id"] > F.col("p.id")) & (q["root"] != F.col("p.root")) & _may_link(q, F.col("p"), s))).alias("q"))
+    return pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
 
 
 def _led(heavy: DataFrame, texts: DataFrame, tested: DataFrame | None, likes: DataFrame | None, step: int, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -173,18 +186,65 @@ def _led(heavy: DataFrame, texts: DataFrame, tested: DataFrame | None, likes: Da
     In one step the order of leaders is the same for all buckets, so classes that meet in many
     buckets mostly have one leader in them; pairs that earlier steps compared keep their result.
     """
-    me, ends = F.struct("id", "sketch"), (F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b"))
+    me, ends = F.struct("id", "sketch", "chars", "root"), (F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b"))
     leads = heavy.where("not led").groupBy("key").agg(F.min_by(me, F.struct(F.xxhash64(F.lit(step), "id"), "id")).alias("leader"))
-    met = heavy.join(leads, "key").where(F.col("id") != F.col("leader.id"))
+    met = heavy.join(leads, "key").where(F.col("root") != F.col("leader.root"))
     pairs = met.where(_may_link(me, F.col("leader"), s)).select(*ends).distinct()
     pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
     links = written(linked(pairs, texts, s), "led")
     now = (links if likes is None else likes.union(links)).withColumn("now", F.lit(True))
     marked = heavy.join(leads, "key", "left").select("*", *ends).join(now, ["a", "b"], "left")
-    marked = marked.withColumn("led", F.col("led") | F.coalesce("now", F.lit(False)) | F.coalesce(F.col("id") == F.col("leader.id"), F.lit(False)))
+    marked = marked.withColumn("led", F.col("led") | F.coalesce("now", F.lit(False)) | F.coalesce(F.col("root") == F.col("leader.root"), F.lit(False)))
     return pairs, links, written(marked.select(*heavy.columns), "heavy")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose classes are not all connected, with the size ``m`` of the bucket."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return rows.join(sizes.select("key", "m"), "key")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose classes are not all connected, with the size ``m`` of the bucket, its largest connected group ``big`` and how many are not of it."""
+    groups = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = groups.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("big")).where("m > big.n")
+    return rows.join(sizes.select("key", "m", F.col("big.root").alias("big"), (F.col("m") - F.col("big.n")).alias("apart")), "key")
+
+
+def _brief_pairs(rows: DataFrame, s: Settings) -> DataFrame:
+    """The candidate pairs of each bucket's brief classes and all of it that are not connected."""
+    side = rows.select("key", F.struct("id", "sketch", "chars", "root", "brief").alias("p"))
+    x = side.where("p.brief").withColumn("salt", F.pmod("p.id", F.lit(SALTS)).cast("int"))
+    y = side.select("key", F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a bucket is dealt to several tasks
+    met = x.join(y, ["key", "salt"]).where((F.col("p.root") != F.col("q.root")) & (~F.col("q.brief") | (F.col("p.id") < F.col("q.id"))) & _may_link(F.col("p"), F.col("q"), s))
+    return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+
+
+def _split(rows: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``brief``, and the rows (key, id, sketch, chars, root) of the smaller buckets that all others but brief ones go to.
+
+    Where few are not of the largest group, these are brief. Elsewhere, words that all of a bucket have make a class brief that needs to share
+    no more of them: any other may be its candidate. Two that need more have a word in common among the rarer ones of both: all but as many as
+    they must share, less one, in one order for the bucket. None of these is a word that all have, so each split makes the buckets
+    smaller and needs one word less: there is a last one.
+    """
+    few = F.col("apart") <= 4 * s.light
+    words = rows.where(~few).select("key", "id", "m", F.explode("sketch").alias("word"))
+    often = words.groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"), F.first("m").alias("m")).where("n > 1")  # a word of one class counts as the rarest
+    often = written(often, "often")
+    shared = often.groupBy("key").agg(F.sum(F.when(F.col("n") == F.col("m"), 1).otherwise(0)).alias("by_all"))
+    brief = F.when(few, F.col("root") != F.col("big")).otherwise(_need(F.col("sketch"), s) <= F.col("by_all"))
+    rows = written(rows.join(shared, "key", "left").withColumn("few", few).withColumn("brief", brief).drop("by_all"), "split")
+    rest = rows.where("not few and not brief")
+    need = rest.groupBy("key").agg(F.min(_need(F.col("sketch"), s)).alias("need"))
+    order = rest.select("key", "id", F.explode("sketch").alias("word")).join(often.select("key", "word", "n"), ["key", "word"])
+    order = order.groupBy("key", "id").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("order"))  # as long as a sketch
+    to = rest.join(need, "key").join(order, ["key", "id"])
+    left = F.size("order") - F.col("need") + 1  # words of one class come before and give no bucket
+    to = to.where(left > 0).select("id", "sketch", "chars", "root", "key", F.explode(F.slice("order", F.lit(1), left)).alias("at"))
+    return rows, to.withColumn("key", F.xxhash64("key", "at.word")).drop("at")
+
+
 def met_classes(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(key, id) where two classes or more have the key, and the classes that are in any."""
     keyed = classes.where("sketch is not null").select("id", F.explode(block_keys(F.col("sketch"), s)).alias("key"))
@@ -203,26 +263,35 @@ def links_of(classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     texts = sources.join(_small(texts, 80, s), F.col("at_id").eqNullSafe(F.col("doc_id")) & (F.col("at_mark") == F.col("mark")))
     texts = with_words(texts.select("id", F.element_at(F.split("text", "\n"), F.col("line") + 1).alias("raw")))
     texts = written(with_texts(texts.dropDuplicates(["id"])), "texts")
-    rows = rows.join(met.select("id", "sketch"), "id").select("key", "id", "sketch", F.lit(False).alias("led"), F.lit(1 << 62).alias("upper"))
+    rows = rows.join(met.select("id", "sketch", "chars"), "id").select("key", "id", "sketch", "chars", F.col("id").alias("root"))
 
     links, candidates, tested, likes = [], [], None, None
-    for level in range(s.levels):
-        # a bucket that is as large as the one it was split from says nothing new; nor does one whose classes are all led
-        sized = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("upper").alias("most"), F.min("led").alias("done")).where("m > 1 and m < most and not done"), "key")
-        sized = written(sized.select("key", "id", "sketch", "led", "m"), "sized")
-        candidates.append(_pairs_in(sized.where(F.col("m") <= s.light), s))
-        heavy = sized.where(F.col("m") > s.light)
+    while True:  # each split makes the buckets smaller, so there is a last one
+        sized = written(_mixed(rows), "sized")
+        candidates.append(written(_pairs_in(sized.where(F.col("m") <= s.light), s), "pairs"))
+        heavy = written(sized.where(F.col("m") > s.light).withColumn("led", F.lit(False)), "heavy")
+        dropped(sized)
         for _ in range(s.rounds):
             if not heavy.where("not led").take(1):
                 break
+            last = heavy
             pairs, found, heavy = _led(heavy, texts, tested, likes, len(links), s)
+            dropped(last)
             links.append(found)
             tested, likes = (pairs, found) if tested is None else (tested.union(pairs), likes.union(found))
-        if level + 1 == s.levels or not heavy.where("not led").take(1):
+        if likes is None or not heavy.take(1):
+            break
+        # what is connected by now needs no pairs, whichever leaders did it
+        roots = components(likes)
+        rows = heavy.drop("root", "m", "led").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rows = written(_apart(rows), "apart")
+        dropped(heavy)
+        if not rows.take(1):
             break
-        open_keys = heavy.where("not led").select("key").distinct()
-        rows = heavy.join(_small(open_keys, 24, s), "key").select("id", "sketch", "led", F.col("m").alias("upper"), "key", F.explode("sketch").alias("word"))
-        rows = rows.withColumn("key", F.xxhash64("key", "word")).drop("word")
+        rows, split = _split(rows, s)
+        candidates.append(written(_brief_pairs(rows, s), "pairs"))
+        rows = split
+        released(docs.sparkSession)
     every = written(reduce(DataFrame.union, candidates).distinct(), "candidates")
     # first one pair for each class, then those whose ends do not hang on the same class by two links
     known = written(reduce(DataFrame.union, links, linked(written(every.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"), texts, s)), "known")
@@ -241,18 +310,18 @@ def dropped_lines(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, mark, gone): the numbers of the lines that go, for the texts that lose any."""
     lines = written(hashed_lines(docs, s), "lines")
     place = F.struct("doc_id", "line", "mark")
-    classes = lines.groupBy("h1").agg(F.min(place).alias("at"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
-    classes = written(classes.select(F.col("h1").alias("id"), "sketch", "copies", "at.doc_id", "at.line", "at.mark"), "classes")
+    classes = lines.groupBy("h1").agg(F.min(place).alias("at"), F.first("sketch").alias("sketch"), F.first("chars").alias("chars"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.select(F.col("h1").alias("id"), "sketch", "chars", "copies", "at.doc_id", "at.line", "at.mark"), "classes")
     released(docs.sparkSession)
     roots = components(links_of(classes, docs, s))
     released(docs.sparkSession)
-    grouped = classes.drop("sketch").join(roots, "id", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "id"))
+    grouped = classes.drop("sketch", "chars").join(roots, "id", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "id"))
     grouped = written(grouped.select("id", "root", "doc_id", "line", "mark"), "grouped")
     # one group may hold very many classes: its first place goes to each of its salts
     kept = grouped.groupBy("root").agg(F.min(place).alias("keep")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     decided = grouped.select("id", "root", F.pmod("id", F.lit(SALTS)).cast("int").alias("salt")).join(kept, ["root", "salt"])
     decided = decided.select(F.col("id").alias("h1"), "keep")
-    gone = lines.drop("sketch").join(decided, "h1").where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "mark", "line").distinct()
+    gone = lines.drop("sketch", "chars").join(decided, "h1").where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "mark", "line").distinct()
     return gone.groupBy("doc_id", "mark").agg(F.collect_list("line").alias("gone"))
 
 

@@ -171,3 +171,19 @@ def test_recall_against_all_pairs_of_edit_similarity(spark):
             like.append(2 * i + 1)
     found = gone(spark, texts)
     assert len(like) > 100 and set(found) <= set(like) and len(found) >= 0.98 * len(like)
+
+
+@pytest.mark.parametrize("shared", [15, 8, 4])
+def test_no_pair_of_a_large_bucket_is_left_out(spark, shared):
+    """80 lines share the smallest hashes of their sketches and no leader links most of them; each is like one other, and like that alone."""
+    rng = np.random.default_rng(9)
+    words = sorted({"".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)})
+    words = [r.w for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "hash(w) & 2147483647 h").orderBy("h").collect()]
+    texts = []
+    for i in range(40):
+        own = list(rng.choice(words[100:], 35 - shared, replace=False))
+        a = words[:shared] + own
+        b = a[:-1] + [words[20 + i]]
+        texts += [" ".join(a), " ".join(b)]
+    found = gone(spark, texts, ld.Settings(light=2))
+    assert found == list(range(1, 80, 2))
