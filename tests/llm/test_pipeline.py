@@ -86,3 +86,19 @@ def test_near_copies_from_four_fifths_on_go(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()) == [1, 3, 4]
     far = spark.createDataFrame([(1, changed(0)), (2, changed(5))], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, far, "").collect()) == [1, 2]
+
+
+def test_line_dedup_stage_leaves_no_pair_of_a_large_bucket_out(spark):
+    """80 documents of one line under 15 shared words, with default settings: each is like one other alone, and one of each two goes."""
+    import random
+
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)})
+    words = [r.w for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "hash(w) & 2147483647 h").orderBy("h").collect()]
+    texts = []
+    for i in range(40):
+        line = words[:15] + rng.sample(words[100:], 20)
+        texts += [" ".join(line), " ".join([*line[:-1], words[20 + i]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.drop_repeated_lines(spark, docs, "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 80, 2))
