@@ -35,7 +35,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import dropped, released, written
@@ -53,7 +53,7 @@ class Settings:
     light: int = 32  #: buckets of up to so many classes give all their pairs at once
     #: Rows of so many bytes at most are sent to all executors; more are joined by a shuffle.
     sent_bytes: int = 16 << 20
-    rounds: int = 3  #: of leaders in larger buckets, before they are split
+    rounds: int = 3  #: of leaders in larger buckets at most, before they are split
 
     @property
     def reach(self) -> Fraction:
@@ -97,9 +97,9 @@ def sketch(words: Column, s: Settings) -> Column:
 
 
 def hashed_lines(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, mark, line, h1, chars, sketch) for each line."""
-    lines = every_line(docs).select("doc_id", "mark", "line", F.xxhash64("words").alias("h1"), F.length(F.array_join("words", " ")).alias("chars"), once(sketch(F.col("words"), s)).alias("sketch"))
-    return lines.withColumn("sketch", F.when(F.size("sketch") >= s.min_words, F.col("sketch")))
+    """(doc_id, mark, line, h1, chars, norm, sketch) for each line."""
+    lines = every_line(docs).select("doc_id", "mark", "line", F.xxhash64("words").alias("h1"), F.array_join("words", " ").alias("norm"), once(sketch(F.col("words"), s)).alias("sketch"))
+    return lines.withColumn("chars", F.length("norm")).withColumn("sketch", F.when(F.size("sketch") >= s.min_words, F.col("sketch")))
 
 
 def block_keys(words: Column, s: Settings) -> Column:
@@ -149,9 +149,15 @@ def with_texts(rows: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose edit distance is at most ``reach`` of the longer line."""
-    one = _small(pairs, 80, s)  # the texts are not dealt out for a few pairs
+    ends, one = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), pairs
+    few = 80 * (n := pairs.count()) <= s.sent_bytes
+    if few:
+        ends, one = F.broadcast(ends), F.broadcast(pairs)
+    mine = texts.join(ends, "id", "left_semi")  # no other text is dealt out
     for side, x in (("a", "x"), ("b", "y")):
-        one = one.join(texts.select(F.col("id").alias(side), F.struct("norm", "letters", "longest").alias(x)), side)
+        one = one.join(mine.select(F.col("id").alias(side), F.struct("norm", "letters", "longest").alias(x)), side)
+    if few:  # few bytes, but each pair is work
+        one = one.repartition(1 + n // TASK_PAIRS)
     return _like(one, s).select("a", "b")
 
 
@@ -246,64 +252,65 @@ def _split(rows: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
 
 def met_classes(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(key, id) where two classes or more have the key, and the classes that are in any."""
+    """(key, id, m) where m classes, two or more, have the key, and the classes that are in any."""
     keyed = classes.where("sketch is not null").select("id", F.explode(block_keys(F.col("sketch"), s)).alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared")
-    rows = written(keyed.join(_small(shared, 24, s), "key"), "rows")
-    dropped(shared)
+    rows = written(keyed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1"), "rows")
     return rows, written(classes.join(_small(rows.select("id").distinct(), 24, s), "id", "left_semi"), "met")
 
 
-def links_of(classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) between classes (id, sketch, doc_id, mark, line)."""
+def _rooted(rows: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
+    """The rows with the root of each id that has one."""
+    return rows.join(_small(roots.withColumnRenamed("root", "now"), 32, s), "id", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+
+
+def links_of(classes: DataFrame, lines: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that connect classes (id, sketch, chars) as all links of candidate pairs do; ``lines`` has (h1, norm)."""
     rows, met = met_classes(classes, s)
-    released(docs.sparkSession)
-    sources = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("at_id"), F.xxhash64("text").alias("at_mark"), "text")
-    texts = met.select("id", "doc_id", "mark", "line")
-    texts = sources.join(_small(texts, 80, s), F.col("at_id").eqNullSafe(F.col("doc_id")) & (F.col("at_mark") == F.col("mark")))
-    texts = with_words(texts.select("id", F.element_at(F.split("text", "\n"), F.col("line") + 1).alias("raw")))
-    texts = written(with_texts(texts.dropDuplicates(["id"])), "texts")
-    rows = rows.join(met.select("id", "sketch", "chars"), "id").select("key", "id", "sketch", "chars", F.col("id").alias("root"))
-
-    links, candidates, tested, likes = [], [], None, None
+    released(classes.sparkSession)
+    texts = lines.select(F.col("h1").alias("id"), "norm").join(_small(met.select("id"), 24, s), "id", "left_semi").dropDuplicates()
+    texts = written(with_texts(texts.select("id", F.split("norm", " ").alias("words"))), "texts")
+    rows = rows.join(met.select("id", "sketch", "chars"), "id").withColumn("root", F.col("id"))
+
+    candidates, tested, likes, roots, step = [], None, None, None, 0
     while True:  # each split makes the buckets smaller, so there is a last one
-        sized = written(_mixed(rows), "sized")
-        candidates.append(written(_pairs_in(sized.where(F.col("m") <= s.light), s), "pairs"))
-        heavy = written(sized.where(F.col("m") > s.light).withColumn("led", F.lit(False)), "heavy")
-        dropped(sized)
+        heavy = written(rows.where(F.col("m") > s.light).withColumn("led", F.lit(False)), "heavy")
+        gained = False
         for _ in range(s.rounds):
-            if not heavy.where("not led").take(1):
+            if not (waiting := heavy.where("not led").count()):
                 break
             last = heavy
-            pairs, found, heavy = _led(heavy, texts, tested, likes, len(links), s)
+            pairs, found, heavy = _led(heavy, texts, tested, likes, step, s)
             dropped(last)
-            links.append(found)
+            step += 1
             tested, likes = (pairs, found) if tested is None else (tested.union(pairs), likes.union(found))
-        if likes is None or not heavy.take(1):
-            break
+            if 100 * found.count() < waiting:  # classes that have no leader; what follows finds their links
+                break
+            gained = True
         # what is connected by now needs no pairs, whichever leaders did it
-        roots = components(likes)
-        rows = heavy.drop("root", "m", "led").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        rows = written(_apart(rows), "apart")
-        dropped(heavy)
+        if gained:
+            roots = components(likes)
+        light = rows.where(F.col("m") <= s.light)
+        candidates.append(written(_pairs_in(_rooted(light, roots, s) if gained else light, s), "pairs"))
+        heavy = heavy.drop("m", "led")
+        rows = written(_apart(_rooted(heavy, roots, s) if gained else heavy), "apart")
         if not rows.take(1):
             break
         rows, split = _split(rows, s)
         candidates.append(written(_brief_pairs(rows, s), "pairs"))
-        rows = split
-        released(docs.sparkSession)
+        rows = written(_mixed(split), "sized")
+        released(classes.sparkSession)
     every = written(reduce(DataFrame.union, candidates).distinct(), "candidates")
-    # first one pair for each class, then those whose ends do not hang on the same class by two links
-    known = written(reduce(DataFrame.union, links, linked(written(every.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"), texts, s)), "known")
-    first = known.groupBy("b").agg(F.min("a").alias("up"))
-    hung = first.join(first.select(F.col("b").alias("up"), F.col("up").alias("top")), "up", "left").select("b", F.coalesce("top", "up").alias("top"))
-    hung = written(hung, "hung")
-    apart = every.join(hung.select(F.col("b").alias("a"), F.col("top").alias("ra")), "a", "left").join(hung.select("b", F.col("top").alias("rb")), "b", "left")
+    # first one pair for each class, then those whose ends are not connected
+    known = linked(written(every.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"), texts, s)
+    roots = components(known if likes is None else known.union(likes))
+    ends = [_small(roots.select(F.col("id").alias(side), F.col("root").alias(f"r{side}")), 32, s) for side in ("a", "b")]
+    apart = every.join(ends[0], "a", "left").join(ends[1], "b", "left")
     apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    return known.union(linked(written(apart, "pairs"), texts, s))
+    return roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(linked(written(apart, "pairs"), texts, s))
 
 
 SALTS = 16
+TASK_PAIRS = 1000  #: compared by a task
 
 
 def dropped_lines(docs: DataFrame, s: Settings) -> DataFrame:
@@ -313,7 +320,7 @@ def dropped_lines(docs: DataFrame, s: Settings) -> DataFrame:
     classes = lines.groupBy("h1").agg(F.min(place).alias("at"), F.first("sketch").alias("sketch"), F.first("chars").alias("chars"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.select(F.col("h1").alias("id"), "sketch", "chars", "copies", "at.doc_id", "at.line", "at.mark"), "classes")
     released(docs.sparkSession)
-    roots = components(links_of(classes, docs, s))
+    roots = components(links_of(classes, lines, s))
     released(docs.sparkSession)
     grouped = classes.drop("sketch", "chars").join(roots, "id", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "id"))
     grouped = written(grouped.select("id", "root", "doc_id", "line", "mark"), "grouped")
@@ -321,7 +328,7 @@ def dropped_lines(docs: DataFrame, s: Settings) -> DataFrame:
     kept = grouped.groupBy("root").agg(F.min(place).alias("keep")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     decided = grouped.select("id", "root", F.pmod("id", F.lit(SALTS)).cast("int").alias("salt")).join(kept, ["root", "salt"])
     decided = decided.select(F.col("id").alias("h1"), "keep")
-    gone = lines.drop("sketch", "chars").join(decided, "h1").where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "mark", "line").distinct()
+    gone = lines.drop("sketch", "chars", "norm").join(decided, "h1").where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "mark", "line").distinct()
     return gone.groupBy("doc_id", "mark").agg(F.collect_list("line").alias("gone"))
 
 

@@ -187,3 +187,17 @@ def test_no_pair_of_a_large_bucket_is_left_out(spark, shared):
         texts += [" ".join(a), " ".join(b)]
     found = gone(spark, texts, ld.Settings(light=2))
     assert found == list(range(1, 80, 2))
+
+
+def test_leaders_that_link_nothing_are_given_up(spark, monkeypatch):
+    """A bucket of unlike classes has one round of leaders, not three, and a comparison deals out the texts of its pairs alone."""
+    names = []
+    monkeypatch.setattr(ld, "written", lambda df, name, f=ld.written: (names.append(name), f(df, name))[1])
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    ranked = [r.w for r in spark.createDataFrame([(w,) for w in sorted(set(words))], "w string").selectExpr("w", "hash(w) & 2147483647 h").orderBy("h").collect()]
+    texts = [" ".join([*ranked[:8], *rng.choice(ranked[100:], 20, replace=False)]) for _ in range(60)]
+    assert gone(spark, [*texts, f"{texts[7]} more"], ld.Settings(light=20)) == [60]
+    assert names.count("led") <= 2
+    pairs, lines = spark.createDataFrame([(1, 2)], "a long, b long"), ld.with_texts(spark.createDataFrame([(i, ["x"]) for i in range(9)], "id long, words array<string>"))
+    assert "LeftSemi" in ld.linked(pairs, lines, ld.Settings())._jdf.queryExecution().optimizedPlan().toString()
