@@ -45,7 +45,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the rolling base and of its inverse modulo 2**64, n + 1 of each."""
     if len(_POWERS.get("up", ())) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
+        size = max(n + 1, min(2 * len(_POWERS.get("up", ())), CHUNK_BYTES + 1), 1 << 16)
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

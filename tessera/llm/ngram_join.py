@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,6 +56,9 @@ MOST_SMALL = 29
 MET = 4
 #: Ids, or sets of leaders, of so many bytes at most are sent to all executors; more are joined by a shuffle.
 SENT_BYTES = 16 << 20
+#: Texts are hashed in chunks of so many bytes (a task holds some forty times that), and sets are held against leaders by so many rows.
+CHUNK_BYTES = 500_000
+SCANNED = 1000
 
 
 @dataclass(frozen=True)
@@ -75,6 +78,22 @@ class Settings:
         return d * (100 + self.percent) <= total * (100 - self.percent)
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def freed(run: Run) -> Run:
+    """``run``, after which the Python worker waits for its next task without tables or unused memory of Arrow."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tx.forget()
+            pa.default_memory_pool().release_unused()
+
+    return out
+
+
 def sets(chunk: tx.Chunk, words: int, levels: np.ndarray | None = None) -> Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]]:
     """The sorted distinct shingle hashes of each text of a chunk; with the level of each word bucket, also how common each shingle's words are."""
     lowered = chunk.lowered()
@@ -140,7 +159,7 @@ def first_pass(docs: DataFrame, s: Settings) -> DataFrame:
         names = [f.split()[0] for f in FIRST.split(", ")]
         for batch in batches:
             n, f1, f2 = [], [], []
-            for chunk in tx.chunks(batch.column(1)):
+            for chunk in tx.chunks(batch.column(1), CHUNK_BYTES):
                 for x in sets(chunk, s.words):
                     a, b = _prints(x)
                     n.append(len(x))
@@ -154,7 +173,7 @@ def first_pass(docs: DataFrame, s: Settings) -> DataFrame:
         none = pa.nulls(len(high), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(high.astype(np.int32)), pa.array(times[high].astype(np.int64))], names)
 
-    return written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, FIRST), "prints")
+    return written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(freed(run), FIRST), "prints")
 
 
 def _subsets(x: np.ndarray, s: Settings, boundary: int) -> np.ndarray:
@@ -208,7 +227,7 @@ def second_pass(docs: DataFrame, s: Settings, boundary: int, levels: np.ndarray)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in tx.chunks(batch.column(1)):
+            for chunk in tx.chunks(batch.column(1), CHUNK_BYTES):
                 found = list(sets(chunk, s.words, sent.value))
                 keys, counts, prints = [], [], []
                 for x, common in found:
@@ -227,7 +246,7 @@ def second_pass(docs: DataFrame, s: Settings, boundary: int, levels: np.ndarray)
                     [f.split()[0] for f in SIGNS.split(", ")],
                 )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SIGNS)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(freed(run), SIGNS)
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, s: Settings, repeats: bool = False) -> DataFrame:
@@ -238,11 +257,11 @@ def sets_of(docs: DataFrame, needed: DataFrame, s: Settings, repeats: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in tx.chunks(batch.column(1)):
+            for chunk in tx.chunks(batch.column(1), CHUNK_BYTES):
                 x = [packed(x) for x in sets(chunk, s.words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(x, pa.binary())], ["node", "x"])
 
-    out = base.mapInArrow(run, "node long, x binary")
+    out = base.mapInArrow(freed(run), "node long, x binary")
     return written(out.dropDuplicates() if repeats else out, "sets")
 
 
@@ -269,10 +288,10 @@ def _against_leader(heavy: DataFrame, found: DataFrame, level: int, s: Settings)
     bit = 1 << level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SCANNED) for b in batches for i in range(0, b.num_rows, SCANNED)):
             parts, links = [], []
-            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                a, b = unpacked(x), unpacked(y)
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                a, b = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 more, less = np.setdiff1d(a, b), np.setdiff1d(b, a)
                 d = len(more) + len(less)
                 linked = bool(s.linked(d, len(a) + len(b)))
@@ -287,7 +306,7 @@ def _against_leader(heavy: DataFrame, found: DataFrame, level: int, s: Settings)
             mask = np.where(links, mask, mask | bit).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(mask), _spread(parts, pa.int64()), pa.array(links, pa.bool_())], ["node", "leader", "n", "mask", "parts", "linked"])
 
-    scanned = apart.mapInArrow(run, "node long, leader long, n long, mask int, parts array<long>, linked boolean")
+    scanned = apart.mapInArrow(freed(run), "node long, leader long, n long, mask int, parts array<long>, linked boolean")
     return written(scanned.select(F.explode_outer("parts").alias("part"), "node", "n", "mask", "linked", "leader").select(F.when(F.col("part").isNotNull(), F.xxhash64("leader", "part")).alias("key"), "node", "n", "mask", "linked", "leader"), "lists")
 
 
@@ -305,7 +324,7 @@ def _filtered(pairs: DataFrame, counts: DataFrame, s: Settings) -> DataFrame:
             open_end = (np.maximum(ca, cb) == FULL).any(axis=1)
             yield batch.select([0, 1]).filter(pa.array(open_end | s.linked(total - 2 * common, total)))
 
-    return joined.select("a", "b", "ca", "na", "cb", "nb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "ca", "na", "cb", "nb").mapInArrow(freed(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
@@ -321,7 +340,7 @@ def _verified(pairs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
                 ok.append(bool(s.linked(len(both) - 2 * int((both[1:] == both[:-1]).sum()), len(both))))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return written(joined.mapInArrow(run, "a long, b long"), "linked")
+    return written(joined.mapInArrow(freed(run), "a long, b long"), "linked")
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -362,7 +381,7 @@ def join(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     if level == 30 and heavy.take(1):
         raise RuntimeError("heavy lists did not break up")
     pairs = written(pairs.distinct(), "pairs")
-    known = docs.sparkSession.createDataFrame([], "a long, b long")
+    known = docs.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))  # a table from Python would start workers of its own
     for part in links:
         known = known.union(part)
     # first one pair for each set, then those still apart

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import ngram_join as nj
@@ -86,3 +87,14 @@ def test_components(spark):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if k in got} and all(k in got or sum(k in e for e in links if e[0] != e[1]) == 0 for k in root)
+
+
+def test_workers_hold_no_tables_between_tasks(spark, monkeypatch):
+    """A Python worker that has done its task holds no powers, and their table follows the chunk."""
+    df, kind, runs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), type(spark.range(0)), []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *a, f=kind.mapInArrow: (runs.append(run), f(self, run, *a))[1])
+    nj.second_pass(df, nj.Settings(), 5, np.zeros(1 << nj.WORD_BITS, dtype=np.uint8))
+    nj.tx.forget()
+    out = runs[0](iter([pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array(["a b c d e f"])})]))
+    assert next(out).column("n").to_pylist() == [4] and 0 < len(nj.tx._POWERS["up"]) <= 1 << 16
+    assert list(out) == [] and not nj.tx._POWERS
