@@ -10,7 +10,8 @@ the working memory is bounded by the larger of that and the longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -61,6 +62,24 @@ def forget() -> None:
     _POWERS.clear()
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def freed(run: Run) -> Run:
+    """``run``, after which the Python worker waits for its next task without tables or unused memory of Arrow and the C library."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return out
+
+
 def byte_table(separators: bytes) -> np.ndarray:
     """True for each byte value that belongs to a word."""
     table = np.ones(256, dtype=bool)

@@ -254,9 +254,9 @@ def _through(docs: DataFrame, text_col: str, benchmark: DataFrame, window: int,
     ready = None
     for shard in shards(benchmark, window, shard_words):
         if ready is not None:
-            docs = written(docs.mapInArrow(a_pass(ready, False), between), "matched")
+            docs = written(docs.mapInArrow(tx.freed(a_pass(ready, False)), between), "matched")
         ready = spark.sparkContext.broadcast(shard)
-    return docs.mapInArrow(a_pass(ready, True), schema)
+    return docs.mapInArrow(tx.freed(a_pass(ready, True)), schema)
 
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"

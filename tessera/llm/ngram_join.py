@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,22 +78,6 @@ class Settings:
         return d * (100 + self.percent) <= total * (100 - self.percent)
 
 
-Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-
-
-def freed(run: Run) -> Run:
-    """``run``, after which the Python worker waits for its next task without tables or unused memory of Arrow."""
-
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            tx.forget()
-            pa.default_memory_pool().release_unused()
-
-    return out
-
-
 def sets(chunk: tx.Chunk, words: int, levels: np.ndarray | None = None) -> Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]]:
     """The sorted distinct shingle hashes of each text of a chunk; with the level of each word bucket, also how common each shingle's words are."""
     lowered = chunk.lowered()
@@ -173,7 +157,7 @@ def first_pass(docs: DataFrame, s: Settings) -> DataFrame:
         none = pa.nulls(len(high), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(high.astype(np.int32)), pa.array(times[high].astype(np.int64))], names)
 
-    return written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(freed(run), FIRST), "prints")
+    return written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(tx.freed(run), FIRST), "prints")
 
 
 def _subsets(x: np.ndarray, s: Settings, boundary: int) -> np.ndarray:
@@ -246,7 +230,7 @@ def second_pass(docs: DataFrame, s: Settings, boundary: int, levels: np.ndarray)
                     [f.split()[0] for f in SIGNS.split(", ")],
                 )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(freed(run), SIGNS)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(tx.freed(run), SIGNS)
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, s: Settings, repeats: bool = False) -> DataFrame:
@@ -261,7 +245,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, s: Settings, repeats: bool = Fal
                 x = [packed(x) for x in sets(chunk, s.words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(x, pa.binary())], ["node", "x"])
 
-    out = base.mapInArrow(freed(run), "node long, x binary")
+    out = base.mapInArrow(tx.freed(run), "node long, x binary")
     return written(out.dropDuplicates() if repeats else out, "sets")
 
 
@@ -306,7 +290,7 @@ def _against_leader(heavy: DataFrame, found: DataFrame, level: int, s: Settings)
             mask = np.where(links, mask, mask | bit).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(mask), _spread(parts, pa.int64()), pa.array(links, pa.bool_())], ["node", "leader", "n", "mask", "parts", "linked"])
 
-    scanned = apart.mapInArrow(freed(run), "node long, leader long, n long, mask int, parts array<long>, linked boolean")
+    scanned = apart.mapInArrow(tx.freed(run), "node long, leader long, n long, mask int, parts array<long>, linked boolean")
     return written(scanned.select(F.explode_outer("parts").alias("part"), "node", "n", "mask", "linked", "leader").select(F.when(F.col("part").isNotNull(), F.xxhash64("leader", "part")).alias("key"), "node", "n", "mask", "linked", "leader"), "lists")
 
 
@@ -324,7 +308,7 @@ def _filtered(pairs: DataFrame, counts: DataFrame, s: Settings) -> DataFrame:
             open_end = (np.maximum(ca, cb) == FULL).any(axis=1)
             yield batch.select([0, 1]).filter(pa.array(open_end | s.linked(total - 2 * common, total)))
 
-    return joined.select("a", "b", "ca", "na", "cb", "nb").mapInArrow(freed(run), "a long, b long")
+    return joined.select("a", "b", "ca", "na", "cb", "nb").mapInArrow(tx.freed(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
@@ -340,7 +324,7 @@ def _verified(pairs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
                 ok.append(bool(s.linked(len(both) - 2 * int((both[1:] == both[:-1]).sum()), len(both))))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return written(joined.mapInArrow(freed(run), "a long, b long"), "linked")
+    return written(joined.mapInArrow(tx.freed(run), "a long, b long"), "linked")
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import written
-from ._text import Chunk, Spans, chunks, forget, hashes
+from ._text import Chunk, Spans, chunks, freed, hashes
 
 CAPACITY = 1024
 END_ID = 2
 CACHE_ENTRIES = 600_000  # parts of words, about 30 MB with their ids, for as long as a task runs
 
+CHUNK_BYTES = 500_000  # texts are encoded in chunks of so many bytes; a task holds some fifty times that beside its known parts
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -197,7 +199,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text in turn."""
-        for chunk in chunks(texts):
+        for chunk in chunks(texts, CHUNK_BYTES):
             parts = parts_of(chunk)
             if not len(parts):
                 yield from [np.zeros(0, dtype="<u4")] * chunk.n
@@ -236,9 +238,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
             names = [f.split()[0] for f in PIECES.split(", ")]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-        forget()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col]).mapInArrow(run, PIECES)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col]).mapInArrow(freed(run), PIECES)
 
 
 def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

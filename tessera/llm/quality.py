@@ -34,6 +34,9 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._labels import fold, sample
 
+#: Texts are scored in chunks of so many bytes: a task holds some fifty times that.
+CHUNK_BYTES = 500_000
+
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_lines long, bad_lines long"
 
 
@@ -237,12 +240,12 @@ def chunk_scores(chunk: tx.Chunk, field: Field) -> tuple[np.ndarray, np.ndarray,
 def score(docs: DataFrame, field: Field, cut: float = 0.3, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in tx.chunks(batch.column(2)):
+            for chunk in tx.chunks(batch.column(2), CHUNK_BYTES):
                 scores, n_lines, bad = chunk_scores(chunk, field)
                 ids, held = batch.column(0).slice(chunk.first, chunk.n), batch.column(1).slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays([ids, held, pa.array(scores), pa.array((scores >= cut).astype(np.int32)), pa.array(n_lines), pa.array(bad)], [f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), (fold(docs["doc_id"]) == 0).alias("held_out"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), (fold(docs["doc_id"]) == 0).alias("held_out"), F.col(text_col)).mapInArrow(tx.freed(run), SCHEMA)
 
 
 def keep_good(docs: DataFrame, field: Field, cut: float = 0.3) -> DataFrame:
@@ -251,10 +254,10 @@ def keep_good(docs: DataFrame, field: Field, cut: float = 0.3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in tx.chunks(batch.column(at)):
+            for chunk in tx.chunks(batch.column(at), CHUNK_BYTES):
                 yield batch.slice(chunk.first, chunk.n).filter(pa.array(chunk_scores(chunk, field)[0] >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tx.freed(run), docs.schema)
 
 
 def learned(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Field:

@@ -127,3 +127,22 @@ def test_repeated_rows_score_alike(spark):
     docs = spark.createDataFrame([(1, "a b c."), (1, "a b c."), (None, None), (None, None)], "doc_id long, text string")
     scores = [(r.doc_id, r.score) for r in quality.score(docs, field).collect()]
     assert len(scores) == 4 and len(set(scores)) == 2
+
+
+def test_workers_hold_no_tables_between_tasks(spark, monkeypatch):
+    """A Python worker that has scored its texts holds no powers, and texts are scored in small chunks, with the same scores."""
+    rows = [(t, good) for _, t, good in corpus(60, 5)]
+    field = quality.fit(rows, quality.Settings(steps=5))
+    df, kind, runs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"), type(spark.range(0)), []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *a, f=kind.mapInArrow: (runs.append(run), f(self, run, *a))[1])
+    quality.score(df, field), quality.keep_good(df, field, 0.5)
+    ids, texts = pa.array(range(len(rows))), pa.array([t for t, _ in rows])
+    whole = quality.chunk_scores(next(tx.chunks(texts)), field)[0]
+    most = max(len(t.encode()) for t, _ in rows)
+    monkeypatch.setattr(quality, "CHUNK_BYTES", most, raising=False)
+    for run, batch in ((runs[0], pa.record_batch([ids, pa.array([False] * len(rows)), texts], ["doc_id", "held_out", "text"])), (runs[1], pa.record_batch([ids, texts], ["doc_id", "text"]))):
+        tx.forget()
+        out = list(run(iter([batch])))
+        assert len(out) > 1 and not tx._POWERS
+        got = pa.Table.from_batches(out)
+        assert np.allclose(got["score"], whole) if "score" in got.column_names else got["doc_id"].to_pylist() == np.flatnonzero(whole >= 0.5).tolist()
