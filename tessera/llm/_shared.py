@@ -32,14 +32,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read again: lineage ends here, and a lost executor costs a reread."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, in less space: for tables of texts."""
+    return written(df, name, compression="zstd")
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table of ``written`` that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -38,7 +38,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import dropped, released, written
+from ._shared import dropped, packed, released, written
 from .components import components
 
 
@@ -219,9 +219,12 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 def _brief_pairs(rows: DataFrame, s: Settings) -> DataFrame:
     """The candidate pairs of each bucket's brief classes and all of it that are not connected."""
-    side = rows.select("key", F.struct("id", "sketch", "chars", "root", "brief").alias("p"))
-    x = side.where("p.brief").withColumn("salt", F.pmod("p.id", F.lit(SALTS)).cast("int"))
-    y = side.select("key", F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a bucket is dealt to several tasks
+    met = F.when(F.col("few"), F.col("apart")).otherwise(F.col("m")) * F.col("m")  # pairs at most
+    salts = F.least(F.lit(SALTS), 1 + F.floor(met / TASK_MET)).cast("int")
+    side = rows.select("key", F.struct("id", "sketch", "chars", "root", "brief").alias("p"), salts.alias("salts"))
+    # a bucket of many pairs is dealt to several tasks: each has all its brief classes, and a part of the others
+    x = side.where("p.brief").select("key", "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    y = side.select("key", F.col("p").alias("q"), F.pmod("p.id", F.col("salts")).cast("int").alias("salt"))
     met = x.join(y, ["key", "salt"]).where((F.col("p.root") != F.col("q.root")) & (~F.col("q.brief") | (F.col("p.id") < F.col("q.id"))) & _may_link(F.col("p"), F.col("q"), s))
     return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
@@ -255,6 +258,7 @@ def met_classes(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(key, id, m) where m classes, two or more, have the key, and the classes that are in any."""
     keyed = classes.where("sketch is not null").select("id", F.explode(block_keys(F.col("sketch"), s)).alias("key"))
     rows = written(keyed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1"), "rows")
+    released(classes.sparkSession)
     return rows, written(classes.join(_small(rows.select("id").distinct(), 24, s), "id", "left_semi"), "met")
 
 
@@ -263,12 +267,15 @@ def _rooted(rows: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
     return rows.join(_small(roots.withColumnRenamed("root", "now"), 32, s), "id", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
 
 
-def links_of(classes: DataFrame, lines: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) that connect classes (id, sketch, chars) as all links of candidate pairs do; ``lines`` has (h1, norm)."""
-    rows, met = met_classes(classes, s)
-    released(classes.sparkSession)
+def texts_of(met: DataFrame, lines: DataFrame, s: Settings) -> DataFrame:
+    """The texts of the classes in ``met``, to be compared; ``lines`` has (h1, norm)."""
     texts = lines.select(F.col("h1").alias("id"), "norm").join(_small(met.select("id"), 24, s), "id", "left_semi").dropDuplicates()
-    texts = written(with_texts(texts.select("id", F.split("norm", " ").alias("words"))), "texts")
+    return packed(with_texts(texts.select("id", F.split("norm", " ").alias("words"))), "texts")
+
+
+def links_of(rows: DataFrame, met: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that connect the classes ``met`` (id, sketch, chars) in the buckets of ``rows`` (key, id, m) as all links of candidate pairs do."""
+    spark = rows.sparkSession
     rows = rows.join(met.select("id", "sketch", "chars"), "id").withColumn("root", F.col("id"))
 
     candidates, tested, likes, roots, step = [], None, None, None, 0
@@ -281,6 +288,7 @@ def links_of(classes: DataFrame, lines: DataFrame, s: Settings) -> DataFrame:
             last = heavy
             pairs, found, heavy = _led(heavy, texts, tested, likes, step, s)
             dropped(last)
+            released(spark)
             step += 1
             tested, likes = (pairs, found) if tested is None else (tested.union(pairs), likes.union(found))
             if 100 * found.count() < waiting:  # classes that have no leader; what follows finds their links
@@ -298,8 +306,11 @@ def links_of(classes: DataFrame, lines: DataFrame, s: Settings) -> DataFrame:
         rows, split = _split(rows, s)
         candidates.append(written(_brief_pairs(rows, s), "pairs"))
         rows = written(_mixed(split), "sized")
-        released(classes.sparkSession)
+        released(spark)
     every = written(reduce(DataFrame.union, candidates).distinct(), "candidates")
+    for table in candidates:
+        dropped(table)
+    released(spark)
     # first one pair for each class, then those whose ends are not connected
     known = linked(written(every.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"), texts, s)
     roots = components(known if likes is None else known.union(likes))
@@ -310,26 +321,43 @@ def links_of(classes: DataFrame, lines: DataFrame, s: Settings) -> DataFrame:
 
 
 SALTS = 16
+TASK_MET = 1 << 16  #: pairs of a bucket that a task holds against the sieve, before the bucket is dealt to more
 TASK_PAIRS = 1000  #: compared by a task
 
 
 def dropped_lines(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, mark, gone): the numbers of the lines that go, for the texts that lose any."""
-    lines = written(hashed_lines(docs, s), "lines")
+    """(doc_id, mark, gone): the numbers of the lines that go, for the texts that lose any.
+
+    Written; each other table goes as soon as nothing reads it, those of texts first.
+    """
+    spark = docs.sparkSession
+    lines = packed(hashed_lines(docs, s), "lines")
     place = F.struct("doc_id", "line", "mark")
     classes = lines.groupBy("h1").agg(F.min(place).alias("at"), F.first("sketch").alias("sketch"), F.first("chars").alias("chars"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.select(F.col("h1").alias("id"), "sketch", "chars", "copies", "at.doc_id", "at.line", "at.mark"), "classes")
-    released(docs.sparkSession)
-    roots = components(links_of(classes, lines, s))
-    released(docs.sparkSession)
+    released(spark)
+    rows, met = met_classes(classes, s)
+    texts = texts_of(met, lines, s)
+    places = written(lines.select("h1", "doc_id", "mark", "line"), "places")
+    dropped(lines)
+    released(spark)
+    roots = components(links_of(rows, met, texts, s))
+    for table in (rows, met, texts):
+        dropped(table)
+    released(spark)
     grouped = classes.drop("sketch", "chars").join(roots, "id", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "id"))
     grouped = written(grouped.select("id", "root", "doc_id", "line", "mark"), "grouped")
+    dropped(classes)
     # one group may hold very many classes: its first place goes to each of its salts
     kept = grouped.groupBy("root").agg(F.min(place).alias("keep")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     decided = grouped.select("id", "root", F.pmod("id", F.lit(SALTS)).cast("int").alias("salt")).join(kept, ["root", "salt"])
     decided = decided.select(F.col("id").alias("h1"), "keep")
-    gone = lines.drop("sketch", "chars", "norm").join(decided, "h1").where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "mark", "line").distinct()
-    return gone.groupBy("doc_id", "mark").agg(F.collect_list("line").alias("gone"))
+    gone = places.join(decided, "h1").where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "mark", "line").distinct()
+    gone = written(gone.groupBy("doc_id", "mark").agg(F.collect_list("line").alias("gone")), "gone")
+    for table in (places, grouped):
+        dropped(table)
+    released(spark)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -338,8 +366,7 @@ def dedup_lines(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     free = "_" * (1 + max(len(c) for c in docs.columns))
     key, mark, gone = f"{free}id", f"{free}mark", f"{free}gone"
     out = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(mark, F.xxhash64("text"))
-    drops = written(dropped_lines(docs, s), "gone").select(F.col("doc_id").alias(f"{key}2"), F.col("mark").alias(f"{mark}2"), F.col("gone").alias(gone))
-    released(docs.sparkSession)
+    drops = dropped_lines(docs, s).select(F.col("doc_id").alias(f"{key}2"), F.col("mark").alias(f"{mark}2"), F.col("gone").alias(gone))
     out = out.join(drops, F.col(key).eqNullSafe(F.col(f"{key}2")) & (F.col(mark) == F.col(f"{mark}2")), "left")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))

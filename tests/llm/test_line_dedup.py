@@ -1,11 +1,14 @@
 """Line dedup against all pairs of lines, with buckets that force the leader rounds."""
 
+import os
 import re
 
 import numpy as np
 import pytest
 
 from tessera.llm import line_dedup as ld
+from tessera.llm._shared import shared_dir
+from tessera.plans.engine import _operators
 
 
 def norm(line):
@@ -201,3 +204,29 @@ def test_leaders_that_link_nothing_are_given_up(spark, monkeypatch):
     assert names.count("led") <= 2
     pairs, lines = spark.createDataFrame([(1, 2)], "a long, b long"), ld.with_texts(spark.createDataFrame([(i, ["x"]) for i in range(9)], "id long, words array<string>"))
     assert "LeftSemi" in ld.linked(pairs, lines, ld.Settings())._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [1 << 16, 50])
+def test_brief_classes_meet_all_of_their_bucket(spark, monkeypatch, most):
+    """Classes apart from the rest of a bucket meet all of it, in one task or in many, and rows of the rest are not repeated for that."""
+    monkeypatch.setattr(ld, "TASK_MET", most, raising=False)
+    rng = np.random.default_rng(3)
+    sketches = [sorted(rng.choice(12, 6, replace=False).tolist()) for _ in range(60)]
+    roots = [i if i in (7, 20, 41) else 0 for i in range(60)]
+    rows = [(1, i, sketches[i], 30, roots[i], 60, 0, 3, True, roots[i] != 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "key long, id long, sketch array<int>, chars int, root long, m long, big long, apart long, few boolean, brief boolean")
+    pairs = ld._brief_pairs(df, ld.Settings())
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if roots[a] != roots[b] and 100 * len({*sketches[a]} & {*sketches[b]}) >= 45 * 6}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and 20 < len(want)
+    run = pairs._jdf.queryExecution()
+    run.toRdd().count()
+    assert sum(counted["numOutputRows"] for _, name, counted in _operators(run.executedPlan(), 0) if name == "Generate") <= 3 * ld.SALTS
+
+
+def test_tables_of_lines_and_classes_go_when_nothing_reads_them(spark):
+    folder = os.path.join(shared_dir(spark).removeprefix("file:"), "tessera")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = ld.dedup_lines(spark.createDataFrame([(1, "one two three four\nfive six seven"), (2, "one two three four\nelse")], "doc_id long, text string"))
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert "gone" in left and not left & {"lines", "classes", "rows", "met", "texts", "places", "grouped"}
+    assert sorted(r.text for r in out.collect()) == ["else", "one two three four\nfive six seven"]
