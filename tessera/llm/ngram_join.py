@@ -13,14 +13,18 @@ sizes a, b and the number d of shingles in one set only, that is
     that may link with a large one goes there as well. The boundary is that of
     least cost by the sizes of all sets.
 4.  Light lists give their pairs. A heavy list is scanned against its leader, the
-    smallest id in it: each set becomes its difference D from the leader's. Sets
+    set in it that is in most heavy lists (of near copies one with few changes of
+    its own, else these would be in all differences and the lists would not break
+    up): each set becomes its difference D from the leader's. Sets
     that link with the leader are connected and need not meet. For any other
     pair at least one side, A, is not linked with the leader. If A links with B
     all the same, they have more than percent / (100 + percent) of B's difference
     in common, so the prefixes of their differences meet: a heavy list breaks up
     into lists under the shingles of the differences, which are light or are
     scanned in turn. No pair is lost, and none is made only because two texts
-    share something common.
+    share something common. Lists that do not get fewer this way (a large family of
+    near copies that mostly do not link) are cut into blocks of like sizes, and all
+    blocks that may hold links are held against each other, pair by pair.
 5.  Pairs are checked against counts of shingles by bucket (no link can share
     more than the sum of the smaller counts), then against the sets: first one
     pair for each set, then those whose ends are not yet connected.
@@ -59,6 +63,8 @@ SENT_BYTES = 16 << 20
 #: Texts are hashed in chunks of so many bytes (a task holds some forty times that), and sets are held against leaders by so many rows.
 CHUNK_BYTES = 500_000
 SCANNED = 1000
+#: Sets in a block of a list that does not break up.
+BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -112,15 +118,19 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
         return int(tx.mix(s).sum(dtype=np.uint64).astype(np.int64)), int(tx.mix(s ^ tx.U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def packed(x: np.ndarray) -> bytes:
-    """48 bits of each hash, in order: two sets of thousands differ in what they share by chance less than once in ten million pairs."""
-    return (x >> tx.U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def packed(x: np.ndarray, common: np.ndarray) -> bytes:
+    """48 bits of each hash, in order, above 16 that tell how common it is: two sets of thousands differ in what they share by chance less than once in ten million pairs."""
+    rank = (np.minimum(common >> 16, 63) << 10) + np.minimum(common & 0xFFFF, 1023)
+    return (x >> tx.U64(16) << tx.U64(16) | rank.astype(np.uint64)).astype("<u8").tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, "<u8")
+
+
+def _rare_first(x: np.ndarray) -> np.ndarray:
+    """Unpacked shingles, each turned so that its 16 bits lead, rare ones first: an order of all shingles, the same in every set."""
+    return np.sort(x << tx.U64(48) | x >> tx.U64(16))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -233,8 +243,9 @@ def second_pass(docs: DataFrame, s: Settings, boundary: int, levels: np.ndarray)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(tx.freed(run), SIGNS)
 
 
-def sets_of(docs: DataFrame, needed: DataFrame, s: Settings, repeats: bool = False) -> DataFrame:
+def sets_of(docs: DataFrame, needed: DataFrame, s: Settings, levels: np.ndarray, repeats: bool = False) -> DataFrame:
     """The sets of some documents: (node, x), x the sorted hashes, packed."""
+    sent = docs.sparkSession.sparkContext.broadcast(levels)
     base = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].cast("string").alias("text"))
     few = needed.count() * 8 <= SENT_BYTES
     base = base.join(F.broadcast(needed) if few else needed, "node", "left_semi")
@@ -242,7 +253,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, s: Settings, repeats: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in tx.chunks(batch.column(1), CHUNK_BYTES):
-                x = [packed(x) for x in sets(chunk, s.words)]
+                x = [packed(x, common) for x, common in sets(chunk, s.words, sent.value)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(x, pa.binary())], ["node", "x"])
 
     out = base.mapInArrow(tx.freed(run), "node long, x binary")
@@ -250,13 +261,20 @@ def sets_of(docs: DataFrame, needed: DataFrame, s: Settings, repeats: bool = Fal
 
 
 def _lists(rows: DataFrame, levels: int, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, node, n, mask): the pairs of light lists, and heavy lists with their leader. Bit i of a mask: unlinked to the leader of level i."""
+    """Of rows (key, node, n, mask): the pairs of light lists, and heavy lists. Bit i of a mask: unlinked to the leader of level i."""
     full = (1 << levels) - 1
-    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader"), F.bit_or("mask").alias("all"))
+    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_or("mask").alias("all"))
     rows = rows.join(stats.where((F.col("m") > 1) & (F.col("all") == full)), "key")
     light = rows.where(F.col("m") <= s.light).groupBy("key").agg(F.collect_list(F.struct("node", "n", "mask")).alias("l"))  # at most `light` long
     pairs = light.select("l", F.explode("l").alias("p")).select("p", F.explode(F.filter("l", lambda q: (q["node"] > F.col("p.node")) & (q["n"] * 100 >= F.col("p.n") * s.percent) & (F.col("p.n") * 100 >= q["n"] * s.percent) & (q["mask"].bitwiseOR(F.col("p.mask")) == full))).alias("q"))
-    return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), rows.where(F.col("m") > s.light).select("key", "node", "n", "mask", "leader")
+    return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), rows.where(F.col("m") > s.light).select("key", "node", "n", "mask")
+
+
+def _led(heavy: DataFrame) -> DataFrame:
+    """Heavy lists with their leader: the set that is in most heavy lists, of these the smallest id."""
+    often = heavy.join(heavy.groupBy("node").agg((-F.count(F.lit(1))).alias("lists")), "node")
+    heads = written(often.groupBy("key").agg(F.min(F.struct("lists", "node")).alias("head")).select("key", F.col("head.node").alias("leader")), "heads")
+    return heavy.join(F.broadcast(heads) if heads.count() * 16 <= SENT_BYTES else heads, "key")
 
 
 def _against_leader(heavy: DataFrame, found: DataFrame, level: int, s: Settings) -> DataFrame:
@@ -264,7 +282,7 @@ def _against_leader(heavy: DataFrame, found: DataFrame, level: int, s: Settings)
 
     Lists of one leader are scanned as one: a pair that meets in several of them needs to meet once.
     """
-    heavy = written(heavy.groupBy("leader", "node", "n").agg(F.bit_or("mask").alias("mask")), "scan")
+    heavy = written(_led(heavy).groupBy("leader", "node", "n").agg(F.bit_or("mask").alias("mask")), "scan")
     leaders = found.join(heavy.select(F.col("leader").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("leader"), F.col("x").alias("y"))
     leaders = written(leaders, "leaders")
     few = (leaders.agg(F.sum(F.octet_length("y"))).first()[0] or 0) <= SENT_BYTES
@@ -283,8 +301,8 @@ def _against_leader(heavy: DataFrame, found: DataFrame, level: int, s: Settings)
                     keep = d - s.percent * d // (100 + s.percent)
                 else:
                     keep = d + 1 - max(1, -(((100 - s.percent) * len(a) - s.percent * d) // s.percent))
-                # own shingles, which few others have, before those of the leader that are missing
-                parts.append(_signed(np.concatenate([more[np.argsort(tx.mix(more))], less[np.argsort(tx.mix(less))]])[:keep]))
+                # own shingles, which few others have, before those of the leader that are missing; of each the rare ones first, or unrelated sets would meet under common ones, and their lists grow from level to level
+                parts.append(_signed(np.concatenate([_rare_first(more), _rare_first(less)])[:keep]))
                 links.append(linked)
             mask = batch.column(3).to_numpy(zero_copy_only=False)
             mask = np.where(links, mask, mask | bit).astype(np.int32)
@@ -294,6 +312,39 @@ def _against_leader(heavy: DataFrame, found: DataFrame, level: int, s: Settings)
     return written(scanned.select(F.explode_outer("parts").alias("part"), "node", "n", "mask", "linked", "leader").select(F.when(F.col("part").isNotNull(), F.xxhash64("leader", "part")).alias("key"), "node", "n", "mask", "linked", "leader"), "lists")
 
 
+def _in_blocks(heavy: DataFrame, signs: DataFrame, levels: int, s: Settings) -> DataFrame:
+    """All pairs of heavy lists that may link by their sizes and counts of shingles; lists of one leader are one."""
+    full, growth = (1 << levels) - 1, math.log(100 / s.percent) if s.percent < 100 else 1.0
+    sets_in = _led(heavy).groupBy("leader", "node", "n").agg(F.bit_or("mask").alias("mask"))
+    sets_in = written(sets_in.withColumn("size", F.floor(F.log("n") / growth)).join(signs.select("node", "counts"), "node"), "groups")
+    many = sets_in.groupBy("leader", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    blocks = sets_in.join(many, ["leader", "size"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    blocks = written(blocks.groupBy("leader", "size", "block").agg(F.collect_list(F.struct("node", "n", "mask", "counts")).alias("l")), "blocks")  # about BLOCK sets long
+    other = blocks.select("leader", F.col("size").alias("size_b"), F.col("block").alias("block_b"), F.col("l").alias("m"))
+    # sets that link are in one class of sizes or in neighbouring ones; a second neighbour is for rounded logarithms
+    met = blocks.join(other, "leader").where("size_b = size and block_b >= block or size_b between size + 1 and size + 2").withColumn("same", F.expr("size_b = size and block_b = block"))
+    met = met.repartition("leader", "size", "block", "size_b", "block_b").select("l", "m", "same")
+
+    def columns(found: pa.StructArray) -> tuple[np.ndarray, ...]:
+        counts = np.frombuffer(b"".join(found.field("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        return *(found.field(k).to_numpy(zero_copy_only=False) for k in ("node", "n", "mask")), counts, (counts == FULL).any(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right, same in zip(*batch.columns, strict=True):
+                b, nb, mb, cb, open_b = columns(right.values)
+                low, high = [b[:0]], [b[:0]]
+                for a, na, ma, ca, open_a in zip(*columns(left.values), strict=True):
+                    common = np.minimum(cb, ca).sum(axis=1, dtype=np.int64)
+                    ok = (open_b | open_a | s.linked(na + nb - 2 * common, na + nb)) & (mb | ma == full) & (100 * na >= s.percent * nb) & (100 * nb >= s.percent * na)
+                    partner = b[ok & (b > a)] if same.as_py() else b[ok]
+                    low.append(np.minimum(partner, a))
+                    high.append(np.maximum(partner, a))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low), pa.int64()), pa.array(np.concatenate(high), pa.int64())], ["a", "b"])
+
+    return written(met.mapInArrow(tx.freed(run), "a long, b long").distinct(), "met")
+
+
 def _filtered(pairs: DataFrame, counts: DataFrame, s: Settings) -> DataFrame:
     """Pairs that may link by their counts of shingles in each bucket."""
     joined = pairs.join(counts.select(F.col("node").alias("a"), F.col("counts").alias("ca"), F.col("n").alias("na")), "a").join(counts.select(F.col("node").alias("b"), F.col("counts").alias("cb"), F.col("n").alias("nb")), "b")
@@ -353,17 +404,20 @@ def join(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     signs = written((signs.dropDuplicates(same) if repeats else signs).withColumnRenamed("doc_id", "node"), "signs")
     pairs, heavy = _lists(signs.select(F.explode("keys").alias("key"), "node", "n", F.lit(0).alias("mask")), 0, s)
     heavy, pairs = written(heavy, "heavy"), written(_filtered(pairs.where("a != b").distinct(), signs, s), "pairs")
-    found = sets_of(docs, heavy.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), s, repeats)
+    found = sets_of(docs, heavy.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), s, levels, repeats)
     links, level = [], 0
-    while level < 30 and heavy.take(1):
+    before = None
+    while now := heavy.count():
+        if before is not None and (2 * now > before or level == 30):
+            pairs = pairs.union(_in_blocks(heavy, signs, level, s))
+            break
+        before = now
         scanned = _against_leader(heavy, found, level, s)
         links.append(scanned.where("linked and node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
         level += 1
         more, heavy = _lists(scanned.where("key is not null").select("key", "node", "n", "mask"), level, s)
         heavy = written(heavy, "heavy")
         pairs = pairs.union(_filtered(more.where("a != b").distinct(), signs, s))
-    if level == 30 and heavy.take(1):
-        raise RuntimeError("heavy lists did not break up")
     pairs = written(pairs.distinct(), "pairs")
     known = docs.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))  # a table from Python would start workers of its own
     for part in links:

@@ -98,3 +98,23 @@ def test_workers_hold_no_tables_between_tasks(spark, monkeypatch):
     out = runs[0](iter([pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array(["a b c d e f"])})]))
     assert next(out).column("n").to_pylist() == [4] and 0 < len(nj.tx._POWERS["up"]) <= 1 << 16
     assert list(out) == [] and not nj.tx._POWERS
+
+
+@pytest.mark.parametrize("block", [8, 128])
+def test_a_family_that_mostly_does_not_link_needs_few_scans(spark, monkeypatch, block):
+    """Near copies below the threshold, with few links among them: heavy lists that no leader breaks up are compared whole."""
+    rng = np.random.default_rng(5)
+    base = [f"v{i}" for i in range(150)]
+    docs = []
+    for i in range(70):
+        w = list(base)
+        for at in rng.choice(150, 9, replace=False):
+            w[at] = f"n{rng.integers(5)}"
+        docs.append((i, " ".join(w)))
+    docs += [(100 + i, docs[i][1] + " and more") for i in range(0, 70, 9)] + [(200 + i, docs[i][1][: -4 * i]) for i in range(1, 6)]
+    scan, scans = nj._against_leader, []
+    monkeypatch.setattr(nj, "_against_leader", lambda *a: (scans.append(1), scan(*a))[1])
+    monkeypatch.setattr(nj, "BLOCK", block)
+    got = nj.join(spark.createDataFrame(docs, "doc_id long, text string"), nj.Settings(light=4))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(docs)
+    assert 1 <= len(scans) <= 8
